@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe
+from bucketscope.llm import bpe, fingerprint
 
-QUERIES = {"op3_bpe": bpe.op3_bpe}
+QUERIES = {
+    "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_bpe": bpe.op3_bpe,
+}
 ORACLES: dict[str, str] = {}
