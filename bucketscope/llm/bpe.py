@@ -17,6 +17,7 @@ import hashlib
 import json
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -444,7 +445,7 @@ def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_W
     lexicon = Lexicon.compile([w.encode() for w in top["word"]], vocabulary)
     at = Path(tempfile.mkdtemp(prefix="lexicon-")) / "lexicon"
     lexicon.save(str(at))
-    name = f"lexicon-{hashlib.sha256(at.read_bytes()).hexdigest()[:16]}"
+    name = f"lexicon-{uuid.uuid4().hex}"  # a context takes each name once
     at = at.rename(at.with_name(name))
     docs.sparkSession.sparkContext.addFile(str(at))
     return name
