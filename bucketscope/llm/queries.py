@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, fingerprint
+from bucketscope.llm import bpe, fingerprint, jaccard
 
 QUERIES = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_bpe": bpe.op3_bpe,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
