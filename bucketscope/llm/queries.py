@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, fingerprint, jaccard
+from bucketscope.llm import bpe, fingerprint, jaccard, language
 
 QUERIES = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_bpe": bpe.op3_bpe,
+    "op5_language": language.op5_language,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
