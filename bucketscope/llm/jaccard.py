@@ -11,7 +11,8 @@ n - ceil(0.8 n) + l share at least l of them. The join uses this twice:
 
 Equal sets form one class, so copies are never paired. In every prefix list the classes are
 first held against one of them (a star); lists whose classes have then all met in one component
-are done, and only pairs across components are counted, verified and linked. No pair of unequal
+are done, and only pairs across components, if sizes and places in the lists allow a link, are
+counted, verified and linked. No pair of unequal
 sets that could join components is left out, nothing is capped.
 
 Null and empty texts have no shingles and link with nothing; fewer than five words form one
@@ -38,7 +39,7 @@ from bucketscope.llm.tables import stored, table
 #: Similarity in hundredths.
 LIKE = 80
 #: Shingles of a prefix bucket in the first filter, and of a task's outgoing batch.
-BUCKET_SHINGLES, BATCH_SHINGLES = 1_000_000, 2_000_000
+BUCKET_SHINGLES, BATCH_SHINGLES = 500_000, 2_000_000
 #: Candidate ids that are broadcast (8 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 _MOST_MATCHES = 64
@@ -121,6 +122,36 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield out()
 
+    def parted(c: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        part = (c.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        c, n, k, part = c[order], n[order], k[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(c) else np.zeros(1, np.int64)
+        rows = [(int(part[a]), c[a:b].tobytes(), n[a:b].tobytes(), k[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 3))], ["part", "classes", "sizes", "counts"])
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums each class's counts; those that hold enough shared shingles stay."""
+        at: int | None = None
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            c, n, k = (np.concatenate([r[i] for r in rows]) for i in range(3))
+            rows.clear()
+            c, first, place = np.unique(c, return_index=True, return_inverse=True)
+            n, k = n[first].astype(np.int64), np.bincount(place, k, len(c)).astype(np.int64)
+            ok = k >= _matches(_alpha(n))
+            return pa.RecordBatch.from_arrays([pa.array(c[ok]), pa.array(n[ok])], ["c", "n"])
+
+        for b in batches:
+            for part, *arrays in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != at and rows:
+                    yield out()
+                at = part
+                rows.append(tuple(np.frombuffer(x, t) for x, t in zip(arrays, (np.int64, np.int32, np.int32), strict=True)))
+        if rows:
+            yield out()
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -135,7 +166,7 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             many = np.repeat(np.diff(np.r_[starts, len(tokens)]) > 1, np.diff(np.r_[starts, len(tokens)]))
             c, first, k = np.unique(c[many], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n[many][first].astype(np.int64)), pa.array(k.astype(np.int64))], ["c", "n", "k"])
+            return parted(c, n[many][first], k.astype(np.int32))
 
         for b in batches:
             for bucket, tokens, places, own, size in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -150,9 +181,8 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
             yield out()
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, tokens binary, places binary, classes binary, sizes binary")
-    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "c long, n long, k long")
-    least = F.expr(f"(cast((n * {LIKE} + 99) div 100 as bigint) + 19) div 20")
-    return counts.groupBy("c").agg(F.max("n").alias("n"), F.sum("k").alias("k")).filter(F.col("k") >= least).select("c", "n")
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "part int, classes binary, sizes binary, counts binary")
+    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(enough, "c long, n long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,15 +201,16 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """t, c, n, level, matches: the shared shingles of each class's adaptive prefix.
+    """t, c, n, s, at, level, matches: the shared shingles of each class's adaptive prefix.
 
-    level is the least l whose prefix holds the shingle; matches is the class's own l.
+    s is how many shingles of the class are shared, at the place among them; level is the least
+    l whose prefix holds the shingle; matches is the class's own l.
     """
     rows = sets.select("c", "n", F.explode("s").alias("t"))
     frequent = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = rows.join(frequent, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).filter(F.size("s") >= F.expr(f"(n * {LIKE} + 99) div 100"))
 
-    @F.pandas_udf("matches int, list array<struct<t: long, level: int>>")
+    @F.pandas_udf("matches int, list array<struct<t: long, at: int, level: int>>")
     def adapt(n: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
         for size, held in zip(n, s, strict=True):
@@ -192,14 +223,21 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             # Reading the lists, then verifying at most lists / l candidates, each as costly as its set is large.
             best = int(np.argmin(lists + lists / wanted * size)) + 1
             end = first + best - 1
-            out.append((best, [(held[i]["t"], max(1, i + 1 - first + 1)) for i in range(end)]))
-        return pd.DataFrame({"matches": [x[0] for x in out], "list": [[{"t": t, "level": v} for t, v in x[1]] for x in out]})
+            out.append((best, [{"t": held[i]["t"], "at": i, "level": max(1, i - first + 2)} for i in range(end)]))
+        return pd.DataFrame({"matches": [x[0] for x in out], "list": [x[1] for x in out]})
+
+    rows = shared.withColumn("p", adapt("n", "s")).select("c", "n", F.size("s").alias("s"), "p.matches", F.explode("p.list").alias("x"))
+    return rows.select("x.t", "c", "n", "s", "x.at", "x.level", "matches")
+
 
-    return shared.withColumn("p", adapt("n", "s")).select("c", "n", "p.matches", F.explode("p.list").alias("x")).select("x.t", "c", "n", "x.level", "matches")
+def _may(x: str, y: str) -> Column:
+    """May two classes link, by their sizes and by how many of their shingles others share at all?"""
+    return F.expr(f"{x}.n * 100 >= {y}.n * {LIKE} and {y}.n * 100 >= {x}.n * {LIKE} and least({x}.s, {y}.s) * {100 + LIKE} >= ({x}.n + {y}.n) * {LIKE}")
 
 
-def _size_ok(n: Column, m: Column) -> Column:
-    return (n * 100 >= m * LIKE) & (m * 100 >= n * LIKE)
+def _may_here(x: str, y: str) -> Column:
+    """And may they, if this shingle is common to both: those before it in either list, itself, and those after it?"""
+    return F.expr(f"(least({x}.at, {y}.at) + 1 + least({x}.s - {x}.at, {y}.s - {y}.at) - 1) * {100 + LIKE} >= ({x}.n + {y}.n) * {LIKE}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,18 +265,19 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, chosen))
     lists = stored(_prefixes(sets))
 
-    heads = lists.groupBy("t").agg(F.min_by(F.struct("c", "n"), "c").alias("h"), F.max("c").alias("last")).filter("h.c != last").select("t", "h")
-    star = lists.join(heads, "t").filter("c != h.c").filter(_size_ok(F.col("n"), F.col("h.n"))).select(F.col("h.c").alias("a"), F.col("c").alias("b")).distinct()
-    star = stored(star)
+    # The head of a list is the class with the fewest shingles of its own: the centre of a group of near copies, if it has one.
+    heads = lists.groupBy("t").agg(F.min_by(F.struct("c", "n", "s"), F.struct(F.col("n") - F.col("s"), "c")).alias("h"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("t", "h")
+    star = lists.alias("x").join(heads.select(F.col("t").alias("ht"), "h.*").alias("y"), F.col("x.t") == F.col("ht")).filter("x.c != y.c").filter(_may("x", "y"))
+    star = stored(star.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
     first = stored(_verified(star, sets))
 
     found = components(first)
-    placed = lists.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).drop("p")
+    placed = lists.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     sizes = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "main")
     rest = stored(placed.join(mixed, "t"))
     x, y = rest.filter("root != main").alias("x"), rest.alias("y")
-    across = x.join(y, F.col("x.t") == F.col("y.t")).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_size_ok(F.col("x.n"), F.col("y.n")))
+    across = x.join(y, F.col("x.t") == F.col("y.t")).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_may("x", "y")).filter(_may_here("x", "y"))
     least = F.least("x.matches", "y.matches")
     across = across.filter((F.col("x.level") <= least) & (F.col("y.level") <= least)).groupBy(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), least.alias("l")).agg(F.count(F.lit(1)).alias("k")).filter("k >= l")
     across = across.select("a", "b").join(star, ["a", "b"], "left_anti")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, fingerprint, jaccard, language
+from bucketscope.llm import bpe, fingerprint, jaccard, language, toxicity
 
 QUERIES = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_bpe": bpe.op3_bpe,
     "op5_language": language.op5_language,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
