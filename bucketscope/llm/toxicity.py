@@ -22,18 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscope.llm.columnar import lowered, slices, word_bounds, word_hashes
+from bucketscope.llm.columnar import lowered, mixed, slices, word_bounds, word_hashes
 from bucketscope.llm.tables import fold, table
 
 WINDOW, OVERLAP = 32, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3_000, 8
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-_WORDS, _GRAM_BITS = 1 << 13, 14
+SLOT_BITS = 20
 _SIZES = {"word": 12, "gram": 8, "hidden": 8, "attend": 8}
 _SLICE = 1 << 19
+#: Share of the training steps in which every window of a document of label 1 teaches.
+WARM = 0.3
 #: Learning rates of the network and of the embeddings, and how fast embeddings fade.
-RATE, RATE_TABLE, DECAY = 0.01, 0.1, 1e-3
+RATE, RATE_TABLE, DECAY = 0.01, 0.01, 1e-4
+#: Documents of the sample that must have a word or a run of bytes for it to count.
+LEAST_DOCS = 4
+#: Documents added to each count of the first log-odds.
+SMOOTH = 4.0
 _BATCH = 2048
 
 
@@ -42,23 +48,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The distinct words of some texts: table rows, trigram rows (with the first of each word), and each occurrence's place."""
+    """The distinct words of some texts: keys of words and of their byte runs (with the first of each word), and each occurrence's place. A network adds rows and grams, their rows in its tables."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         h = word_hashes(data, starts, ends)
         _, first, self.place = np.unique(h, return_index=True, return_inverse=True)
-        self.rows = (h[first] % np.uint64(_WORDS)).astype(np.int64)
+        self.keys = h[first]
         s, size = starts[first], ends[first] - starts[first]
         total = int(size.sum())
         own = np.cumsum(size) - size
         at, end = np.repeat(s - own, size) + np.arange(total), np.repeat(s + size, size)
-        grams = np.zeros((total, 2), np.int64)  # at each byte, the runs of three and six that start there, cut short at the word's end
+        grams = np.zeros((total, 2), np.uint64)  # at each byte, the runs of three and six that start there, cut short at the word's end
         for k, (width, odd) in enumerate(((3, 0x9E3779B97F4A7C15), (6, 0xC2B2AE3D27D4EB4F))):
             code = np.zeros(total, np.uint64)
             for j in range(width):
                 code = (code << np.uint64(8)) | np.where(at + j < end, data[np.minimum(at + j, max(len(data) - 1, 0))], 0).astype(np.uint64)
-            grams[:, k] = ((code + np.uint64(k)) * np.uint64(odd)) >> np.uint64(64 - _GRAM_BITS)
-        self.grams, size = grams.ravel(), 2 * size
+            grams[:, k] = mixed((code + np.uint64(1)) * np.uint64(odd))
+        self.gram_keys, size = grams.ravel(), 2 * size
         self.begin = np.cumsum(size) - size
         self.size = size.astype(np.float32)
 
@@ -74,17 +80,41 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, begin, np.minimum(WINDOW, first[1:][text] - begin)
 
 
+class Known:
+    """Keys that have a row of their own; all others share the last row. One slot for each hash: of two keys the later stays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.slots = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slots[self._slot(keys)] = keys
+        kept = np.flatnonzero(self.slots)
+        self.row = np.full(1 << SLOT_BITS, len(kept), np.int32)
+        self.row[kept] = np.arange(len(kept))
+        self.size = len(kept) + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        return np.where(self.slots[at] == keys, self.row[at], self.size - 1)
+
+
 class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         e, h, a = _SIZES["word"] + _SIZES["gram"], _SIZES["hidden"], _SIZES["attend"]
         normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": np.zeros((_WORDS, _SIZES["word"]), np.float32), "gram": np.zeros((1 << _GRAM_BITS, _SIZES["gram"]), np.float32)}  # what was never seen says nothing
+        self.known = {k: Known(np.zeros(0, np.uint64)) for k in ("word", "gram")}
+        self.p = {k: np.zeros((1, _SIZES[k]), np.float32) for k in ("word", "gram")}
         for d in "fb":  # forwards, backwards
             self.p |= {f"x{d}": normal(e**-0.5, e, 3 * h), f"h{d}": normal(h**-0.5, h, 3 * h), f"c{d}": np.zeros(3 * h, np.float32)}
         self.p |= {"a": normal((2 * h) ** -0.5, 2 * h, a), "ab": np.zeros(a, np.float32), "v": normal(0.5, a), "o": normal((2 * h) ** -0.5, 2 * h), "ob": np.zeros(1, np.float32)}
         self.slope, self.shift = 1.0, 0.0
 
+    def bound(self, w: Words) -> Words:
+        w.rows, w.grams = self.known["word"].rows(w.keys), self.known["gram"].rows(w.gram_keys)
+        return w
+
     def embedded(self, w: Words) -> np.ndarray:
         if not len(w.rows):
             return np.zeros((0, _SIZES["word"] + _SIZES["gram"]), np.float32)
@@ -130,7 +160,7 @@ class Network:
         return {d: np.concatenate([e @ self.p[f"x{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * _SIZES["hidden"]), np.float32)]) for d in "fb"}
 
     def logits(self, w: Words, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        project = self.projected(self.embedded(w))
+        project = self.projected(self.embedded(self.bound(w)))
         place = np.append(w.place, len(w.rows))
         out = np.zeros(len(begin), np.float32)
         for i in range(0, len(begin), _BATCH):
@@ -194,18 +224,43 @@ class Network:
         np.add.at(g["gram"], part.grams, np.repeat(demb[:, _SIZES["word"] :] / part.size[:, None], n, axis=0))
         return loss, g
 
-    def fit(self, texts: list[str], labels: np.ndarray, group: np.ndarray, steps: int = 900, batch: int = 256, seed: int = 5) -> None:
-        """texts: one window each; group: its document. After the first pass a document of label 1 teaches by its highest window and those above zero only: the rest of its words may be harmless."""
+    def _start(self, w: Words, owner: np.ndarray, place: np.ndarray, y: np.ndarray) -> None:
+        """Gives a row to what enough documents have; its first coordinate is the smoothed log-odds of the labels. owner: document of each word."""
+        label = np.zeros(place.max() + 1, np.int64)
+        label[place] = y > 0
+        pairs = np.unique(owner * len(w.keys) + w.place)  # each word once a document
+        owner, word = pairs // len(w.keys), pairs % len(w.keys)
+        n = np.bincount(label, minlength=2) + SMOOTH
+        size = w.size.astype(np.int64)
+        runs = w.gram_keys[np.repeat(w.begin[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(int(size[word].sum()))]
+        for name, keys, docs in (("word", w.keys[word], owner), ("gram", runs, np.repeat(owner, size[word]))):
+            all_keys, place = np.unique(keys, return_inverse=True)
+            pairs = np.unique(docs * len(all_keys) + place)
+            docs, place = pairs // len(all_keys), pairs % len(all_keys)
+            hits = np.stack([np.bincount(place[label[docs] == k], minlength=len(all_keys)) for k in (0, 1)])
+            order = np.argsort(hits.sum(0), kind="stable")
+            order = order[hits.sum(0)[order] >= LEAST_DOCS]
+            self.known[name] = Known(all_keys[order])
+            odds = 0.5 * (np.log((hits[1] + SMOOTH * n[1] / n.sum()) / n[1]) - np.log((hits[0] + SMOOTH * n[0] / n.sum()) / n[0]))
+            table = np.zeros((self.known[name].size, _SIZES[name]), np.float32)
+            table[self.known[name].rows(all_keys[order]), 0] = odds[order]
+            table[-1] = 0
+            self.p[name] = table
+
+    def fit(self, texts: list[str], labels: np.ndarray, group: np.ndarray, steps: int = 300, batch: int = 256, seed: int = 5) -> None:
+        """texts: one window each; group: its document. In the later steps a document of label 1 teaches by its highest window and those above zero only: the rest of its words may be harmless."""
         rng = np.random.default_rng(seed)
         w, first = words_in(texts)
         begin, size = first[:-1], np.minimum(WINDOW, np.diff(first))
         y = labels.astype(np.float32)
+        _, place = np.unique(group, return_inverse=True)
+        self._start(w, np.repeat(place, np.diff(first)), place, y)
+        self.bound(w)
         moment = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         t, trust = 0, np.ones(len(y))
-        _, place = np.unique(group, return_inverse=True)
         while t < steps:
-            if t:
+            if t >= steps * WARM:
                 scores = self.logits(w, begin, size)
                 top = np.full(place.max() + 1, -np.inf, np.float32)
                 np.maximum.at(top, place, scores)
@@ -221,6 +276,8 @@ class Network:
                     table = k in ("word", "gram")  # one scale for a whole table: words of many windows learn most
                     square[k] = 0.99 * square[k] + 0.01 * (np.max(g[k] ** 2) if table else g[k] ** 2)
                     v *= 1 - (DECAY if table else 0)
+                    if table:
+                        moment[k][-1] = 0  # what was hardly seen says nothing
                     v -= (RATE_TABLE if table else RATE) * (moment[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-7)
 
     def calibrate(self, most: np.ndarray, labels: np.ndarray, share: float) -> None:
