@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, fingerprint, jaccard, language, toxicity
+from bucketscope.llm import bpe, chat, fingerprint, jaccard, language, toxicity
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_bpe": bpe.op3_bpe,
     "op5_language": language.op5_language,
