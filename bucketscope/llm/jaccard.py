@@ -7,7 +7,8 @@ n - ceil(0.8 n) + l share at least l of them. The join uses this twice:
 1. by shingle hash, with l = n / 20: a document whose prefix holds too few shingles that any
    other text has links with nothing and leaves;
 2. among the rest by (document frequency, hash): each document takes the l of least estimated
-   cost, so that costly prefixes grow and demand more common shingles before a pair is verified.
+   cost, so that costly prefixes grow and demand more common shingles before a pair is verified
+   (pairs are met in the prefixes of l = 1, which hold the first common shingle).
 
 Equal sets form one class, so copies are never paired. In every prefix list the classes are
 first held against one of them (a star); lists whose classes have then all met in one component
@@ -201,16 +202,16 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """t, c, n, s, at, level, matches: the shared shingles of each class's adaptive prefix.
+    """c, n, s, matches, list (t, level): the shared shingles of each class's adaptive prefix, in order.
 
-    s is how many shingles of the class are shared, at the place among them; level is the least
-    l whose prefix holds the shingle; matches is the class's own l.
+    s is how many shingles of the class are shared; level is the least l whose prefix holds the
+    shingle; matches is the class's own l.
     """
     rows = sets.select("c", "n", F.explode("s").alias("t"))
     frequent = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = rows.join(frequent, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).filter(F.size("s") >= F.expr(f"(n * {LIKE} + 99) div 100"))
 
-    @F.pandas_udf("matches int, list array<struct<t: long, at: int, level: int>>")
+    @F.pandas_udf("matches int, list array<struct<t: long, level: int>>")
     def adapt(n: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
         for size, held in zip(n, s, strict=True):
@@ -223,11 +224,10 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             # Reading the lists, then verifying at most lists / l candidates, each as costly as its set is large.
             best = int(np.argmin(lists + lists / wanted * size)) + 1
             end = first + best - 1
-            out.append((best, [{"t": held[i]["t"], "at": i, "level": max(1, i - first + 2)} for i in range(end)]))
+            out.append((best, [{"t": held[i]["t"], "level": max(1, i - first + 2)} for i in range(end)]))
         return pd.DataFrame({"matches": [x[0] for x in out], "list": [x[1] for x in out]})
 
-    rows = shared.withColumn("p", adapt("n", "s")).select("c", "n", F.size("s").alias("s"), "p.matches", F.explode("p.list").alias("x"))
-    return rows.select("x.t", "c", "n", "s", "x.at", "x.level", "matches")
+    return shared.withColumn("p", adapt("n", "s")).select("c", "n", F.size("s").alias("s"), "p.matches", "p.list")
 
 
 def _may(x: str, y: str) -> Column:
@@ -235,9 +235,17 @@ def _may(x: str, y: str) -> Column:
     return F.expr(f"{x}.n * 100 >= {y}.n * {LIKE} and {y}.n * 100 >= {x}.n * {LIKE} and least({x}.s, {y}.s) * {100 + LIKE} >= ({x}.n + {y}.n) * {LIKE}")
 
 
-def _may_here(x: str, y: str) -> Column:
-    """And may they, if this shingle is common to both: those before it in either list, itself, and those after it?"""
-    return F.expr(f"(least({x}.at, {y}.at) + 1 + least({x}.s - {x}.at, {y}.s - {y}.at) - 1) * {100 + LIKE} >= ({x}.n + {y}.n) * {LIKE}")
+def _may_first(x: str, y: str) -> Column:
+    """And may they, if this shingle is the first of their common ones? No more than what follows it in either list can be common."""
+    return F.expr(f"least({x}.s - {x}.at, {y}.s - {y}.at) * {100 + LIKE} >= ({x}.n + {y}.n) * {LIKE}")
+
+
+def _match_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs whose l-prefixes share l shingles, l being the lesser of the two."""
+    one = prefixes.select(F.col("c").alias("a"), F.col("matches").alias("l"), F.col("list").alias("x"))
+    two = prefixes.select(F.col("c").alias("b"), F.col("matches").alias("m"), F.col("list").alias("y"))
+    short = lambda k: f"transform(filter({k}, v -> v.level <= least(l, m)), v -> v.t)"
+    return pairs.join(one, "a").join(two, "b").filter(F.expr(f"size(array_intersect({short('x')}, {short('y')})) >= least(l, m)")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,13 +271,15 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     reps = known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     chosen = stored(_may_link(docs, buckets).join(reps, "c").select("doc_id"))
     sets = stored(_sets(docs, chosen))
-    lists = stored(_prefixes(sets))
+    prefixes = stored(_prefixes(sets))
+    # The first common shingle of two classes that link is in the shortest prefixes of both.
+    lists = prefixes.select("c", "n", "s", F.posexplode("list").alias("at", "x")).filter("x.level = 1").select("x.t", "c", "n", "s", "at")
 
     # The head of a list is the class with the fewest shingles of its own: the centre of a group of near copies, if it has one.
     heads = lists.groupBy("t").agg(F.min_by(F.struct("c", "n", "s"), F.struct(F.col("n") - F.col("s"), "c")).alias("h"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least != most").select("t", "h")
     star = lists.alias("x").join(heads.select(F.col("t").alias("ht"), "h.*").alias("y"), F.col("x.t") == F.col("ht")).filter("x.c != y.c").filter(_may("x", "y"))
     star = stored(star.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
-    first = stored(_verified(star, sets))
+    first = stored(_verified(_match_enough(star, prefixes), sets))
 
     found = components(first)
     placed = lists.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -277,11 +287,9 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "main")
     rest = stored(placed.join(mixed, "t"))
     x, y = rest.filter("root != main").alias("x"), rest.alias("y")
-    across = x.join(y, F.col("x.t") == F.col("y.t")).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_may("x", "y")).filter(_may_here("x", "y"))
-    least = F.least("x.matches", "y.matches")
-    across = across.filter((F.col("x.level") <= least) & (F.col("y.level") <= least)).groupBy(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), least.alias("l")).agg(F.count(F.lit(1)).alias("k")).filter("k >= l")
-    across = across.select("a", "b").join(star, ["a", "b"], "left_anti")
-    return first.union(_verified(across, sets))
+    across = x.join(y, F.col("x.t") == F.col("y.t")).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_may("x", "y")).filter(_may_first("x", "y"))
+    across = across.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    return first.union(_verified(_match_enough(across, prefixes), sets))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
