@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, chat, fingerprint, jaccard, language, toxicity
+from bucketscope.llm import bpe, chat, fingerprint, jaccard, language, secrets, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_bpe": bpe.op3_bpe,
     "op5_language": language.op5_language,
+    "op6_secrets": secrets.op6_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard": jaccard.op10_jaccard,
 }
