@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketscope.llm.columnar import gathered
-from bucketscope.llm.tables import table
+from bucketscope.llm.tables import stored, table
 
-#: Words compiled into the lexicon: the most frequent of the whole corpus.
+#: Most words compiled into the lexicon: the most frequent of the whole corpus.
 LEXICON_WORDS = 65_536
 #: Distinct raw words remembered by a worker before it starts afresh.
 MEMORY_WORDS = 500_000
@@ -439,9 +439,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compiles the most frequent words of docs (ties by word) and gives the file to all executors; returns its name."""
-    # The driver holds the words of the lexicon only: 65,536 by default, a few MB.
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()
+    """Compiles the most frequent words of docs, as many as there are of the same frequency or none of them, and gives the file to all executors; returns its name."""
+    counts = stored(word_counts(docs, text))
+    # Frequencies in steps of 2 ** (1 / 16): at most 1,024 rows reach the driver, then at most `words` words.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    taken, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if taken + r["count"] > words:
+            break
+        taken, least = taken + r["count"], r["step"]
+    top = counts.filter(step >= (1 << 30 if least is None else least)).select("word").toPandas()
     lexicon = Lexicon.compile([w.encode() for w in top["word"]], vocabulary)
     at = Path(tempfile.mkdtemp(prefix="lexicon-")) / "lexicon"
     lexicon.save(str(at))
