@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bucketscope.llm import bpe, chat, fingerprint, jaccard, language, lines, secrets, sharding, toxicity
+from bucketscope.llm import benchmark, bpe, chat, fingerprint, jaccard, language, lines, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
+    "op8_benchmark": benchmark.op8_benchmark,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard": jaccard.op10_jaccard,
 }
-ORACLES = {"op4_lines": lines.ORACLE, "op7_sharding": sharding.ORACLE}
+ORACLES = {"op4_lines": lines.ORACLE, "op7_sharding": sharding.ORACLE, "op8_benchmark": benchmark.ORACLE}
