@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketscope.functions import erasure, scalar
 from bucketscope.operators import cluster, integrity, lifecycle, metrics, multipart, namespace, policy
+from bucketscope.plans import registry
+from bucketscope.plans.registry import query
 from bucketscope.sources.adapters import entity, sql
 from bucketscope.streaming import requests
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 START, END = "2023-12-31 00:00:00", "2024-02-01 00:00:00"
 NOW = "1998-06-01 00:00:00"
 SEED, COPIES, LEAST, PERCENT = "seed", 2, 50_000, 15
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if oracle is not None:
-            _SQL[name] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,3 +421,6 @@ def _quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _log(spark, sf_dir).withColumn("day", F.date_format("occurred_at", "yyyyMMdd"))
     return rows.select("event_id", erasure.signature(F.concat(F.lit("key-"), F.col("user_id").cast("string")), F.col("day"), F.lit("local"), F.concat_ws("\n", "method", "bucket")).alias("signature"))
+
+
+from bucketscope.plans import more  # noqa: E402, F401  (registers its queries)
