@@ -29,7 +29,7 @@ from bucketscope.llm.columnar import lowered, slices
 from bucketscope.llm.tables import fold, table
 
 #: Labelled documents to learn from, in all.
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 2_000
 #: Counters of hashed n-grams of two and of three bytes.
 BITS = 11
 #: Runner-up within this share of the score: ambiguous.
@@ -58,8 +58,10 @@ def _counted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Square roots of the counts at length one, in place of the counts."""
+    np.sqrt(counts, out=counts)
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts
 
 
 def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,34 +137,33 @@ class Coder:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """lang, grams, counts of the documents to learn from."""
+    """doc_id, lang, grams, counts of the documents to learn from."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", HELD_OUT_FOLDS) != 0))
     langs = labelled.select("lang").distinct().count()
     each = max(20, SAMPLE_DOCS // max(1, langs))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     # At most SAMPLE_DOCS ids (or 20 for each language) are broadcast.
-    chosen = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    chosen = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, data, offsets in _rows(b.column(1)):
+            for first, data, offsets in _rows(b.column(2)):
                 rows = _counted(data, offsets)
                 at = [np.flatnonzero(r).astype(np.int32) for r in rows]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))], ["lang", "grams", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), b.column(1).slice(first, len(rows)), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))], ["doc_id", "lang", "grams", "counts"])
 
-    return chosen.mapInArrow(count, "lang string, grams array<int>, counts array<float>")
+    return chosen.mapInArrow(count, "doc_id long, lang string, grams array<int>, counts array<float>")
 
 
 def learn(docs: DataFrame) -> Coder | None:
-    rows = _sample(docs).collect()  # bounded: see _sample
-    if not rows:
+    rows = _sample(docs).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()  # bounded: see _sample
+    if not len(rows):
         return None
-    rows.sort(key=lambda r: (r["lang"], r["grams"], r["counts"]))
     counts = np.zeros((len(rows), 2 << BITS), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, r["grams"]] = r["counts"]
-    return Coder.fit(counts, [r["lang"] for r in rows])
+    grams, many = (rows[c].combine_chunks() for c in ("grams", "counts"))
+    counts[np.repeat(np.arange(len(rows)), grams.value_lengths().to_numpy()), grams.flatten().to_numpy()] = many.flatten().to_numpy()
+    return Coder.fit(counts, rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, coder: Coder | None, text: str = "text") -> DataFrame:
