@@ -139,10 +139,14 @@ class Coder:
 def _sample(docs: DataFrame) -> DataFrame:
     """doc_id, lang, grams, counts of the documents to learn from."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", HELD_OUT_FOLDS) != 0))
-    langs = labelled.select("lang").distinct().count()
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = known.count()
     each = max(20, SAMPLE_DOCS // max(1, langs))
+    # A language's share of hashes leaves about twice as many as are wanted, then the first of them are taken.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    known = F.broadcast(known) if langs <= SAMPLE_DOCS else known
+    few = labelled.select("doc_id", "lang").join(known, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") <= 2.0 * each)
+    ids = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     # At most SAMPLE_DOCS ids (or 20 for each language) are broadcast.
     chosen = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 
