@@ -18,12 +18,16 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0))
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        at = known or tempfile.mkdtemp(prefix="checkpoint-")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="checkpoint-"))
+        at = _OWN[0]
     return at
 
 

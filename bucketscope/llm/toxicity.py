@@ -41,6 +41,8 @@ LEAST_DOCS = 4
 #: Documents added to each count of the first log-odds.
 SMOOTH = 4.0
 _BATCH = 2048
+#: Documents whose byte runs are counted at once.
+_AT_ONCE = 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -224,6 +226,18 @@ class Network:
         np.add.at(g["gram"], part.grams, np.repeat(demb[:, _SIZES["word"] :] / part.size[:, None], n, axis=0))
         return loss, g
 
+    @staticmethod
+    def _hits(w: Words, name: str, owner: np.ndarray, word: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of some documents' words or byte runs, and how many documents of either label have each."""
+        keys, docs = w.keys[word], owner
+        if name == "gram":
+            size = w.size[word].astype(np.int64)
+            keys, docs = w.gram_keys[np.repeat(w.begin[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], np.repeat(owner, size)
+        known, place = np.unique(keys, return_inverse=True)
+        pairs = np.unique(docs * len(known) + place)
+        docs, place = pairs // len(known), pairs % len(known)
+        return known, np.stack([np.bincount(place[label[docs] == k], minlength=len(known)) for k in (0, 1)])
+
     def _start(self, w: Words, owner: np.ndarray, place: np.ndarray, y: np.ndarray) -> None:
         """Gives a row to what enough documents have; its first coordinate is the smoothed log-odds of the labels. owner: document of each word."""
         label = np.zeros(place.max() + 1, np.int64)
@@ -231,13 +245,11 @@ class Network:
         pairs = np.unique(owner * len(w.keys) + w.place)  # each word once a document
         owner, word = pairs // len(w.keys), pairs % len(w.keys)
         n = np.bincount(label, minlength=2) + SMOOTH
-        size = w.size.astype(np.int64)
-        runs = w.gram_keys[np.repeat(w.begin[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(int(size[word].sum()))]
-        for name, keys, docs in (("word", w.keys[word], owner), ("gram", runs, np.repeat(owner, size[word]))):
-            all_keys, place = np.unique(keys, return_inverse=True)
-            pairs = np.unique(docs * len(all_keys) + place)
-            docs, place = pairs // len(all_keys), pairs % len(all_keys)
-            hits = np.stack([np.bincount(place[label[docs] == k], minlength=len(all_keys)) for k in (0, 1)])
+        cuts = np.searchsorted(owner, np.arange(0, len(label) + _AT_ONCE, _AT_ONCE))
+        for name in ("word", "gram"):
+            parts = [self._hits(w, name, owner[i:j], word[i:j], label) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+            all_keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            hits = np.stack([np.bincount(at, np.concatenate([h[i] for _, h in parts]), len(all_keys)) for i in (0, 1)])
             order = np.argsort(hits.sum(0), kind="stable")
             order = order[hits.sum(0)[order] >= LEAST_DOCS]
             self.known[name] = Known(all_keys[order])
