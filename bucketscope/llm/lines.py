@@ -16,7 +16,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bucketscope.llm.tables import stored, table
@@ -24,6 +24,8 @@ from bucketscope.llm.tables import stored, table
 LEAD, LEAST_TOKENS, LEAST_DOCS, CONSTANT = 3, 4, 3, 70
 #: Leaves or lines that are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Different lines of a leaf that one task may hold.
+LEAF_LINES = 1_000
 ANY = "<*>"
 
 
@@ -35,42 +37,73 @@ def _leaf(tokens: str) -> Column:
     return F.expr(f"concat_ws(' ', cast(size({tokens}) as string), transform(slice({tokens}, 1, {LEAD}), t -> if(t rlike '[0-9]', '{ANY}', t)))")
 
 
+def _hashes() -> list[Column]:
+    """Two hashes that stand for a line where its text isn't needed."""
+    return [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g")]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+
+
 def _parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, line, leaf of every different line of a document that is long enough."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return lines.withColumn("tokens", _tokens("line")).filter(F.size("tokens") >= LEAST_TOKENS).select("doc_id", "line", _leaf("tokens").alias("leaf"))
+    """doc_id, leaf, h, g of every different line of a document that is long enough."""
+    rows = _lines(docs).select("doc_id", *_hashes(), _tokens("line").alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
+    return rows.select("doc_id", _leaf("tokens").alias("leaf"), "h", "g")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def recurring(docs: DataFrame) -> DataFrame:
-    """line, template, first_doc of every line whose template recurs."""
-    parsed = _parsed(docs)
+def _templates(lines: DataFrame, large: DataFrame) -> DataFrame:
+    """leaf, h, g, docs, first_doc, template of the lines that are a template.
+
+    A leaf's lines are dealt out by leaf once, and all that follows needs no further shuffle.
+    The leaves in large, of too many different lines for that, count their tokens by token.
+    """
+    few = lines.join(_small(large), "leaf", "left_anti").repartition("leaf")
+    tokens = few.select("leaf", "h", "g", "docs", "first_doc", F.posexplode("tokens").alias("at", "token"))
+    support = F.sum("docs").over(Window.partitionBy("leaf", "at", "token"))
+    by_leaf = tokens.withColumn("fixed", (support >= LEAST_DOCS) & ~F.col("token").rlike("[0-9]"))
+
+    many = lines.join(_small(large), "leaf", "left_semi").select("leaf", "h", "g", "docs", "first_doc", F.posexplode("tokens").alias("at", "token"))
+    constant = many.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= LEAST_DOCS) & ~F.col("token").rlike("[0-9]"))
+    by_token = many.join(constant.select("leaf", "at", "token", F.lit(True).alias("fixed")), ["leaf", "at", "token"], "left")
+    by_token = by_token.select("leaf", "h", "g", "docs", "first_doc", "at", "token", F.coalesce("fixed", F.lit(False)).alias("fixed"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        part = F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(ANY).alias("token"))
+        out = rows.groupBy("leaf", "h", "g").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count_if("fixed").alias("fixed"), F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"))
+        return out.filter(F.col("fixed") * 100 >= F.size("parts") * CONSTANT).select("leaf", "h", "g", "docs", "first_doc", F.array_join("parts.token", " ").alias("template"))
+
+    return joined(by_leaf).union(joined(by_token))
+
+
+def recurring(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """h, g, template, first_doc of every line whose template recurs; parsed: _parsed(docs), stored."""
     leaves = stored(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS).select("leaf"))
-    lines = stored(parsed.join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")))
-    tokens = lines.select("leaf", "line", "docs", "first_doc", F.posexplode(_tokens("line")).alias("at", "token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= LEAST_DOCS) & ~F.col("token").rlike("[0-9]")).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    marked = tokens.join(constant, ["leaf", "at", "token"], "left")
-    parts = marked.groupBy("leaf", "line", "docs", "first_doc").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).otherwise(ANY).alias("token")))).alias("parts"), F.count("fixed").alias("fixed"))
-    templates = parts.filter(F.col("fixed") * 100 >= F.size("parts") * CONSTANT).select("leaf", "line", "docs", "first_doc", F.array_join("parts.token", " ").alias("template"))
-    many = templates.groupBy("leaf", "template").agg(F.sum("docs").alias("n"), F.min("first_doc").alias("first")).filter(F.col("n") >= LEAST_DOCS)
-    return templates.join(many, ["leaf", "template"]).select("line", "template", F.col("first").alias("first_doc"))
+    some = stored(parsed.join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "h", "g").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")))
+    large = stored(some.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_LINES).select("leaf"))
+    texts = _lines(docs).select("line", *_hashes()).join(_small(some.select("h", "g")), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.max("line").alias("line"))
+    lines = stored(some.join(texts, ["h", "g"]).select("leaf", "h", "g", "docs", "first_doc", _tokens("line").alias("tokens")))
+    templates = stored(_templates(lines, large))
+    many = templates.groupBy("leaf", F.md5("template").alias("m")).agg(F.sum("docs").alias("n"), F.min("first_doc").alias("first")).filter(F.col("n") >= LEAST_DOCS)
+    return templates.withColumn("m", F.md5("template")).join(many, ["leaf", "m"]).select("h", "g", "template", F.col("first").alias("first_doc"))
 
 
-def _dropped(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _dropped(parsed: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id and the two hashes of each line that goes, for every document that has some."""
-    known = found.select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), "first_doc")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("doc_id", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
-    gone = lines.join(_small(known), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).filter("first_doc is not null")
+    known = found.filter("first_doc is not null").select("h", "g", "first_doc")
+    gone = parsed.join(_small(known), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the kept lines as text, ``n_lines`` and ``n_dropped``."""
-    found = stored(recurring(docs))
-    rows = docs.drop("n_lines", "n_dropped", "_gone").withColumn("_id", F.col("doc_id")).join(_dropped(docs, found).withColumnRenamed("doc_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
+    parsed = stored(_parsed(docs))
+    found = stored(recurring(docs, parsed))
+    rows = docs.drop("n_lines", "n_dropped", "_gone").withColumn("_id", F.col("doc_id")).join(_dropped(parsed, found).withColumnRenamed("doc_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"))))
     rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), lines).otherwise(kept))
