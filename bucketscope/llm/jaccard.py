@@ -44,6 +44,8 @@ BUCKET_SHINGLES, BATCH_SHINGLES = 500_000, 2_000_000
 #: Candidate ids that are broadcast (8 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 _MOST_MATCHES = 64
+#: Stands for a null doc_id where texts are looked up again.
+_NO_ID = -(1 << 63)
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -197,7 +199,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     known = ids.count()
     ids = F.broadcast(ids) if known <= BROADCAST_IDS else ids
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     return chosen.select("text").mapInArrow(run, "c long, n long, s array<long>").filter("n > 0")
 
 
@@ -268,7 +270,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) between classes of known (doc_id, n, c): enough of them to join every component."""
     total = known.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-(total // 4) // BUCKET_SHINGLES))
-    reps = known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    reps = known.filter("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("doc_id"))
     chosen = stored(_may_link(docs, buckets).join(reps, "c").select("doc_id"))
     sets = stored(_sets(docs, chosen))
     prefixes = stored(_prefixes(sets))
