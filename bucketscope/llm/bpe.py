@@ -35,9 +35,9 @@ from bucketscope.llm.tables import stored, table
 
 #: Most words compiled into the lexicon: the most frequent of the whole corpus.
 LEXICON_WORDS = 65_536
-#: Distinct raw words remembered by a worker before it starts afresh.
-MEMORY_WORDS = 500_000
-_SLICE_CHARS = 4 << 20
+#: Distinct raw words remembered by a task before it starts afresh.
+MEMORY_WORDS = 200_000
+_SLICE_CHARS = 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 # Fixed values of the vocabulary's format: how words are found in normalised text, and white space.
@@ -399,17 +399,6 @@ def decoded(vocabulary: Vocabulary, flat: np.ndarray, begin: np.ndarray) -> list
     return joined((vocabulary.shown, vocabulary.shown_at, vocabulary.shown_len), flat, begin)
 
 
-def _text_slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        to, n = at, 0
-        while to < len(texts) and (to == at or n + len(texts[to]) <= most):
-            n += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each normalised word in all documents: word, n."""
 
@@ -429,10 +418,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                raw.update(split_raw(t or ""))
-                if len(raw) > MEMORY_WORDS:
-                    yield out()
+            for first, size in _row_slices(b.column(0)):
+                for t in b.column(0).slice(first, size).to_pylist():
+                    raw.update(split_raw(t or ""))
+                    if len(raw) > MEMORY_WORDS:
+                        yield out()
         yield out()
 
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -458,15 +448,9 @@ def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_W
     return name
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(name: str, vocabulary) -> Encoder:  # noqa: ANN001  (a broadcast Vocabulary)
-    """A worker's encoder; it stays for the worker's next tasks."""
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(vocabulary.value, Lexicon.mapped(SparkFiles.get(name)))
-    return _ENCODERS[name]
+    """A task's encoder; what it remembers goes with the task."""
+    return Encoder(vocabulary.value, Lexicon.mapped(SparkFiles.get(name)))
 
 
 def prepared(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text: str = "text"):  # noqa: ANN201
@@ -479,14 +463,15 @@ def encode(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, te
     """docs with ``token_ids array<int>`` and ``n_tokens long``."""
     name, vocabulary = prepared(docs, vocabulary_path, words, text)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(column: pd.Series) -> pd.Series:
-        texts = [x or "" for x in column]
-        encoder, out = encoder_of(name, vocabulary), []
-        for a, b in _text_slices(texts, _SLICE_CHARS):
-            flat, begin = encoder.encode(texts[a:b])
-            out += np.split(flat.astype(np.int32), begin[1:-1])
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = encoder_of(name, vocabulary)
+        for column in columns:
+            parts = [pa.array([], pa.list_(pa.int32()))]
+            for first, size in _row_slices(column):
+                flat, begin = encoder.encode([x or "" for x in column.slice(first, size).to_pylist()])
+                parts.append(pa.ListArray.from_arrays(begin.astype(np.int32), flat.astype(np.int32)))
+            yield pa.concat_arrays(parts)
 
     return docs.drop("token_ids", "n_tokens").withColumn("token_ids", ids_of(F.col(text))).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
@@ -509,8 +494,8 @@ def digests(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS) -
     name, vocabulary = prepared(docs, vocabulary_path, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, v = encoder_of(name, vocabulary), vocabulary.value
         for b in batches:
-            encoder, v = encoder_of(name, vocabulary), vocabulary.value
             for first, size in _row_slices(b.column(1)):
                 texts = [x or "" for x in b.column(1).slice(first, size).to_pylist()]
                 flat, begin = encoder.encode(texts)

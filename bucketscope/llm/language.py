@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,17 +173,20 @@ def identify(docs: DataFrame, coder: Coder | None, text: str = "text") -> DataFr
     """docs with ``lang_pred string``, ``score double`` and ``ambiguous boolean``."""
     model = docs.sparkSession.sparkContext.broadcast(coder)  # 4,096 weights for each bit
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def of(column: pd.Series) -> pd.DataFrame:
-        out: list[tuple[str, float, bool]] = []
-        for _, data, offsets in _rows(pa.array(column, pa.large_string())):
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def of(column: pa.Array) -> pa.Array:
+        langs, scores, nears = [], [np.zeros(0)], [np.zeros(0, bool)]
+        for _, data, offsets in _rows(column):
             known = _lettered(data, offsets)
+            best, score, near = np.zeros(len(known), int), np.zeros(len(known)), np.ones(len(known), bool)
             if model.value is None:
-                out += [("und", 0.0, True)] * len(known)
-                continue
-            best, score, near = model.value.decode(_counted(data, offsets))
-            out += [(model.value.langs[k], float(s), bool(a)) if ok else ("und", 0.0, True) for k, s, a, ok in zip(best, score, near, known, strict=True)]
-        return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
+                known[:] = False
+            else:
+                best, score, near = model.value.decode(_counted(data, offsets))
+            langs += [model.value.langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
+            scores.append(np.where(known, score, 0.0))
+            nears.append(np.where(known, near, True))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64()), pa.array(np.concatenate(nears))], ["lang_pred", "score", "ambiguous"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     return docs.select(*kept, of(F.col(text)).alias("_found")).select(*kept, "_found.*")
