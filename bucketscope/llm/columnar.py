@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes that are hashed at once (a longer word alone).
+PIECE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -66,7 +68,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, 2 * PIECE_BYTES)
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_P, inverse)]
     return _POWERS[0], _POWERS[1]
@@ -85,8 +87,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word's bytes; the same in every process."""
     out = np.zeros(len(starts), np.uint64)
-    at, step = 0, 4 * SLICE_BYTES
-    while at < len(starts):  # long texts go piece by piece
+    at, step = 0, PIECE_BYTES
+    while at < len(starts):  # piece by piece; the hash of a word is the same in any
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, "right")))
         base = starts[at]
         piece = data[base : ends[to - 1]].astype(np.uint64) + np.uint64(1)
