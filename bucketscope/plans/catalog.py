@@ -216,10 +216,6 @@ def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.fault_domains(_disks(spark, sf_dir), LEAST, PERCENT, 3)
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir).filter("bucket = 'b5' and startswith(key, 'y=1996/m=05/')")
-
-
 @query(
     "placement_w04_w06_j15",
     f"{sql('object_versions', 'disks').rstrip()}, s AS (SELECT bucket, key, version_id, disk_id, node_id, fault_domain, substr(sha256(concat_ws('|', '{SEED}', bucket, key, version_id, fault_domain, node_id, CAST(disk_id AS STRING))), 1, 16) AS score FROM (SELECT * FROM object_versions WHERE bucket = 'b5' AND starts_with(key, 'y=1996/m=05/')) o, (SELECT * FROM disks WHERE {_ON}) d), "
@@ -227,7 +223,7 @@ def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"r AS (SELECT *, CAST(row_number() OVER (PARTITION BY version_id ORDER BY CASE WHEN d = 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END, score, disk_id) AS INTEGER) AS replica FROM t) SELECT bucket, key, version_id, replica, disk_id, node_id, fault_domain, score FROM r WHERE replica <= {COPIES}",
 )
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.placed(_few(spark, sf_dir), _disks(spark, sf_dir), SEED, COPIES)
+    return cluster.placed(_versions(spark, sf_dir), _disks(spark, sf_dir), SEED, COPIES)
 
 
 _FLAGS = "pt AS (SELECT object_no, part_no, count(*) AS shards, count(*) FILTER (status = 'available') AS ok FROM shards GROUP BY ALL), fl AS (SELECT object_no, count(*) AS parts, bool_or(ok < 1) AS unrecoverable, bool_or(ok < 2) AS under_replicated, bool_or(ok < shards) AS degraded FROM pt GROUP BY 1)"

@@ -5,7 +5,7 @@ import hmac
 from pyspark.sql import functions as F
 
 from bucketscope.functions import erasure, scalar
-from bucketscope.operators import integrity, metrics, multipart, namespace, policy
+from bucketscope.operators import cluster, integrity, metrics, multipart, namespace, policy
 from bucketscope.streaming import requests
 
 
@@ -114,3 +114,41 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     q.stop()
     assert spark.table("hours").agg(F.sum("request_count")).first()[0] == log.count()
     assert spark.table("hours").count() == metrics.hourly_by_bucket(log).count()
+
+
+def best_disks(objects, disks, copies):
+    """Placement by brute force: {(version_id, replica): (disk_id, score)}."""
+    out = {}
+    for bucket, key, version in objects:
+        ranked = sorted((hashlib.sha256("|".join(["seed", bucket, key, version, *[x for x in (domain, node) if x is not None], str(disk)]).encode()).hexdigest()[:16], disk, node, domain) for disk, node, domain in disks)
+        tiers, domains, nodes = [], set(), set()
+        for s, disk, node, domain in ranked:
+            tiers.append((0 if domain not in domains else 1 if node not in nodes else 2, s, disk))
+            domains.add(domain)
+            nodes.add(node)
+        out |= {(version, i + 1): (disk, s) for i, (_, s, disk) in enumerate(sorted(tiers)[:copies])}
+    return out
+
+
+def test_placement_tiers(spark):
+    objects = [("b", f"k{i}", f"v{i}") for i in range(20)]
+    disks = [(1, "n1", "f1"), (2, "n1", "f1"), (3, "n2", "f1"), (4, "n3", "f2"), (5, "n3", "f2")]
+    rows = spark.createDataFrame([(*d, "Online", "Online") for d in disks] + [(6, "n4", "f3", "Offline", "Online")], "disk_id long, node_id string, fault_domain string, disk_status string, node_status string")
+    for copies in (1, 2, 3, 4, 9):
+        got = cluster.placed(spark.createDataFrame(objects, "bucket string, key string, version_id string"), rows, "seed", copies).collect()
+        assert {(r.version_id, r.replica): (r.disk_id, r.score) for r in got} == best_disks(objects, disks, copies) and len(got) == 20 * min(copies, 5)
+
+
+def test_placement_covers_every_object(spark, sf_dir):
+    from oracle import connect, same
+
+    from bucketscope.plans import catalog
+    from bucketscope.sources.adapters import entity
+
+    name = "placement_w04_w06_j15"
+    rows = catalog.queries()[name](spark, sf_dir)
+    objects = [tuple(r) for r in entity(spark, sf_dir, "object_versions").select("bucket", "key", "version_id").collect()]
+    disks = [tuple(r) for r in entity(spark, sf_dir, "disks").filter(cluster.ONLINE).select("disk_id", "node_id", "fault_domain").collect()]
+    assert {(r.version_id, r.replica): (r.disk_id, r.score) for r in rows.collect()} == best_disks(objects, disks, 2)
+    # The query's SQL is of one bucket and month.
+    same(rows.filter("bucket = 'b5' and startswith(key, 'y=1996/m=05/')"), connect(sf_dir), catalog.oracle_sql()[name])
