@@ -8,14 +8,21 @@ item's windows are in it and the slots agree: every value of the item's slots al
 the same value in the document and the other way round, so re-parameterised questions are
 caught and chance likenesses of form are not.
 
+A document may hold an item more than once, with different values. Where the slots of all hits
+together don't agree, each occurrence is judged by itself, its windows and its slots: the hits of
+one alignment (place in the document less place in the item), alone or with those of alignments
+at most eight words (and less than half the item) away, where words came in or went. Of hits that
+share a window of the item or of the document, the one of the longest run counts. One occurrence
+that agrees is enough. n_windows counts the whole document.
+
 Null and empty texts leak nothing and empty items are leaked by nothing. Repeated rows of one
-doc_id count together. Whole texts are read. Extra columns are ignored. An empty table
+doc_id count together, but words are compared row by row. Whole texts are read. Extra columns are ignored. An empty table
 gives an empty table; a null doc_id is a document like any other, null item ids are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bucketscope.llm.tables import stored, table
@@ -25,6 +32,8 @@ WINDOW = 8
 COVER = 50
 #: Windows of the benchmark, or ids of documents with a hit, that are broadcast; beyond, a shuffled join.
 BROADCAST_WINDOWS, BROADCAST_IDS = 500_000, 1_000_000
+#: Words by which alignments of one occurrence may differ from its first.
+SHIFT = 8
 UNITS = "mm cm m km mg g kg lb lbs oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent % dollar dollars euro euros cent cents mile miles inch inches foot feet meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres degree degrees".split()
 
 
@@ -58,6 +67,41 @@ def windows(rows: DataFrame, words: str, sizes: list[int], *ids: str) -> DataFra
     return rows.select(*ids, F.explode(F.expr(found)).alias("x")).select(*[i.split(".")[-1] for i in ids], "x.at", "x.h", "x.k")
 
 
+def _compared(places: DataFrame, words: DataFrame, *by: str) -> DataFrame:
+    """by, pairs, n_slots, values: pairs of values that fill one slot in the item and the document, and how many differ on each side."""
+    pairs = places.join(words, ["doc_id", "row"]).select(*by, "item_value", F.expr("w[place].v").alias("value")).filter("value is not null").distinct()
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("item_value").alias("n_slots"), F.countDistinct("value").alias("values"))
+
+
+def _placed(hits: DataFrame, slots: DataFrame, *by: str) -> DataFrame:
+    """The slots of the matched windows, each place once, with the words that fill them in the item."""
+    inside = hits.join(slots, "item_id").filter("slot >= item_at - 1 and slot < item_at - 1 + k")
+    return inside.select(*by, "item_value", (F.col("at") - F.col("item_at") + F.col("slot")).alias("place")).distinct()
+
+
+AGREES = "pairs is null or (pairs = n_slots and pairs = values)"
+
+
+def _occurrences(hits: DataFrame, known: DataFrame, many: DataFrame, sizes: DataFrame, slots: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_slots of the pairs in hits of which some occurrence covers the item and agrees."""
+    pair = ["doc_id", "row", "item_id"]
+    hits = hits.withColumn("off", F.col("at") - F.col("item_at"))
+    run = F.col("item_at") - F.row_number().over(Window.partitionBy(*pair, "off").orderBy("item_at"))
+    hits = hits.withColumn("run", run).withColumn("length", F.count(F.lit(1)).over(Window.partitionBy(*pair, "off", "run"))).withColumn("cell", F.floor(F.col("off") / (SHIFT + 1)))
+    hits = stored(hits)
+    seeds = hits.select(*pair, F.col("off").alias("seed"), "cell").distinct().join(sizes, "item_id")
+    seeds = seeds.withColumn("reach", F.explode(F.array_distinct(F.array(F.lit(0), F.least(F.lit(SHIFT), F.expr("(n_words - 1) div 2").cast("int"))))))
+    seeds = seeds.withColumn("cell", F.explode(F.when(F.col("reach") == 0, F.array("cell")).otherwise(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))).drop("n_words")
+    one = [*pair, "seed", "reach"]
+    near = hits.join(seeds, [*pair, "cell"]).filter(F.abs(F.col("off") - F.col("seed")) <= F.col("reach"))
+    first = lambda side: F.row_number().over(Window.partitionBy(*one, side).orderBy(F.desc("length"), F.abs(F.col("off") - F.col("seed")), "off"))
+    near = near.withColumn("a", first("item_at")).withColumn("b", first("at")).filter("a = 1 and b = 1").select(*one, "at", "item_at", "k")
+    near = stored(near)
+    cover = near.join(known.select("item_id", "item_at", "h"), ["item_id", "item_at"]).groupBy(*one).agg(F.countDistinct("h").alias("n")).join(many, "item_id").filter(F.col("n") * 100 >= F.col("item_windows") * COVER)
+    agree = _compared(_placed(near.join(cover.select(*one), one, "left_semi"), slots, *one), words, *one)
+    return cover.select(*one).join(agree, one, "left").filter(AGREES).groupBy("doc_id", "item_id").agg(F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, found in the document), item_windows, n_slots (distinct slot values)."""
     bench = stored(canonical(items.filter("item_id is not null").select("item_id", "text")).filter("size(w) > 0").withColumn("own", F.least(F.size("w"), F.lit(WINDOW))).select("item_id", "w", "own"))
@@ -65,21 +109,23 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = windows(bench, "w", sizes, "item_id", "own").filter("k = own")
     known = stored(parts.select("item_id", F.col("at").alias("item_at"), "h", "k"))
     lookup = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
-    hits = stored(windows(docs, _words("text"), sizes, "doc_id").join(lookup, ["h", "k"]).select("doc_id", "item_id", "at", "item_at", "k").distinct())
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    hits = stored(windows(docs, _words("text"), sizes, "doc_id", "row").join(lookup, ["h", "k"]).select("doc_id", "row", "item_id", "at", "item_at", "k").distinct())
     many = known.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
     found = hits.join(known.select("item_id", "item_at", "h"), ["item_id", "item_at"]).groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_windows"))
     found = found.join(many, "item_id").filter(F.col("n_windows") * 100 >= F.col("item_windows") * COVER)
 
-    # The slots of the matched windows, each place once, with the words that fill them on both sides.
     slots = bench.select("item_id", F.posexplode("w").alias("slot", "x")).filter(F.col("x.t").isin("<number>", "<unit>", "<name>")).select("item_id", "slot", F.col("x.v").alias("item_value"))
-    places = hits.join(slots, "item_id").filter("slot >= item_at - 1 and slot < item_at - 1 + k").select("doc_id", "item_id", "item_value", (F.col("at") - F.col("item_at") + F.col("slot")).alias("place")).distinct()
+    places = _placed(hits, slots, "doc_id", "row", "item_id")
     ids = stored(places.select("doc_id").distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = stored(canonical(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).select("doc_id", "w"))
-    pairs = places.join(chosen, "doc_id").select("doc_id", "item_id", "item_value", F.expr("w[place].v").alias("value")).filter("value is not null").distinct()
-    agree = pairs.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("item_value").alias("n_slots"), F.countDistinct("value").alias("values"))
-    rows = found.join(agree, ["doc_id", "item_id"], "left").filter("pairs is null or (pairs = n_slots and pairs = values)")
-    return rows.select("doc_id", "item_id", "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
+    chosen = stored(canonical(docs.join(ids, "doc_id", "left_semi")).select("doc_id", "row", "w").distinct())
+    rows = stored(found.join(_compared(places, chosen, "doc_id", "item_id"), ["doc_id", "item_id"], "left").withColumn("agrees", F.expr(AGREES)))
+    torn = hits.join(rows.filter("not agrees").select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    lengths = bench.select("item_id", F.size("w").alias("n_words"))
+    again = rows.filter("not agrees").drop("n_slots").join(_occurrences(torn, known, many, lengths, slots, chosen), ["doc_id", "item_id"])
+    columns = ["doc_id", "item_id", "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots")]
+    return rows.filter("agrees").select(*columns).union(again.select(*columns))
 
 
 def op8_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,19 @@ def test_reparameterised_questions(spark, edge, none):
     assert benchmark.leaks(edge, items).count() == 0 and benchmark.leaks(none, items).count() == 0 and benchmark.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_repeated_questions(spark):
+    item = "in total how many apples does Anna buy if she pays 12 dollars for each of the 5 boxes and keeps 12 coins"
+    other = item.replace("12", "31").replace("Anna", "Peter")
+    odd, torn = item.replace("12 dollars", "30 dollars").replace("12 coins", "40 coins"), other.replace("for each", "right now for each")
+    twice = "she then walks home and counts 3 coins in her purse before " * 2
+    twice = twice.replace("3", "4", 1) + "the day ends"
+    rows = [(1, f"{item} some words between them {other}"), (2, f"{item} {other}"), (3, f"{other} {other.replace('31', '8')}"), (4, f"{odd} or {odd.replace('30', '7')}"), (5, f"noise {twice} noise"), (6, f"{torn} and {odd}"), (7, f"{odd} {torn}"), (8, odd), (9, item), (9, other + " at the end of it")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in benchmark.leaks(docs, items).collect()}
+    assert set(got) == {(1, 7), (2, 7), (3, 7), (5, 8), (6, 7), (7, 7), (9, 7)} and benchmark.leaks(docs, items).count() == 7
+    assert got[5, 8].n_slots == 2 and got[1, 7].n_windows == got[1, 7].item_windows
+
+
 def test_pipeline_against_stages(spark, sf_dir, docs):
     import corpus_pipeline
 
