@@ -4,7 +4,9 @@ A line falls into a leaf by its number of tokens and its first three tokens, tok
 standing for any. Within a leaf a token is constant at its place if three documents' lines have
 it there; all others are variable fields. The line's template keeps the constant tokens, and is
 one if at least 70 % of its tokens are constant. A template that recurs in three documents or
-more stays in the first of them (the least doc_id) and is dropped from the others.
+more stays in the first of them (the least doc_id) and is dropped from the others. So does a line
+that recurs exactly in two documents or more, and the template of a line of sixteen tokens or
+more, with constants that two documents have; of several firsts the least counts.
 
 Lines of fewer than four tokens are left alone. Tokens are what space, tab, vertical tab, form
 feed and carriage return separate. A document counts once for each of its different lines; rows
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from bucketscope.llm.tables import stored, table
 
 LEAD, LEAST_TOKENS, LEAST_DOCS, CONSTANT = 3, 4, 3, 70
+#: Documents from which on equal lines recur, and templates of at least LONG_TOKENS.
+PAIR_DOCS, LONG_TOKENS = 2, 16
 #: Leaves or lines that are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Different lines of a leaf that one task may hold.
@@ -57,39 +61,45 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _templates(lines: DataFrame, large: DataFrame) -> DataFrame:
-    """leaf, h, g, docs, first_doc, template of the lines that are a template.
+    """leaf, h, g, docs, first_doc, least, template of the lines that are a template; least: documents that have its constants, at least.
 
     A leaf's lines are dealt out by leaf once, and all that follows needs no further shuffle.
     The leaves in large, of too many different lines for that, count their tokens by token.
     """
     few = lines.join(_small(large), "leaf", "left_anti").repartition("leaf")
     tokens = few.select("leaf", "h", "g", "docs", "first_doc", F.posexplode("tokens").alias("at", "token"))
-    support = F.sum("docs").over(Window.partitionBy("leaf", "at", "token"))
-    by_leaf = tokens.withColumn("fixed", (support >= LEAST_DOCS) & ~F.col("token").rlike("[0-9]"))
+    by_leaf = tokens.withColumn("support", F.sum("docs").over(Window.partitionBy("leaf", "at", "token")))
 
     many = lines.join(_small(large), "leaf", "left_semi").select("leaf", "h", "g", "docs", "first_doc", F.posexplode("tokens").alias("at", "token"))
-    constant = many.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= LEAST_DOCS) & ~F.col("token").rlike("[0-9]"))
-    by_token = many.join(constant.select("leaf", "at", "token", F.lit(True).alias("fixed")), ["leaf", "at", "token"], "left")
-    by_token = by_token.select("leaf", "h", "g", "docs", "first_doc", "at", "token", F.coalesce("fixed", F.lit(False)).alias("fixed"))
+    constant = many.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= PAIR_DOCS)
+    by_token = many.join(constant, ["leaf", "at", "token"], "left").select("leaf", "h", "g", "docs", "first_doc", "at", "token", F.coalesce("support", F.lit(0)).alias("support"))
 
     def joined(rows: DataFrame) -> DataFrame:
-        part = F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(ANY).alias("token"))
-        out = rows.groupBy("leaf", "h", "g").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count_if("fixed").alias("fixed"), F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"))
-        return out.filter(F.col("fixed") * 100 >= F.size("parts") * CONSTANT).select("leaf", "h", "g", "docs", "first_doc", F.array_join("parts.token", " ").alias("template"))
+        part = F.struct("at", "token", F.when(F.col("token").rlike("[0-9]"), -1).otherwise(F.col("support")).alias("support"))
+        out = rows.groupBy("leaf", "h", "g").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"))
+        made = lambda n: f"transform(parts, x -> if(x.support >= {n}, x.token, '{ANY}'))"
+        whole = lambda n: f"size(filter(parts, x -> x.support >= {n})) * 100 >= size(parts) * {CONSTANT}"
+        kinds = [f"if({whole(LEAST_DOCS)}, struct({LEAST_DOCS} as least, concat_ws(' ', {made(LEAST_DOCS)}) as template), null)"]
+        kinds.append(f"if(size(parts) >= {LONG_TOKENS} and {whole(PAIR_DOCS)}, struct({PAIR_DOCS} as least, concat_ws(' ', {made(PAIR_DOCS)}) as template), null)")
+        return out.select("leaf", "h", "g", "docs", "first_doc", F.inline(F.expr(f"filter(array({', '.join(kinds)}), x -> x is not null)")))
 
     return joined(by_leaf).union(joined(by_token))
 
 
 def recurring(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """h, g, template, first_doc of every line whose template recurs; parsed: _parsed(docs), stored."""
-    leaves = stored(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS).select("leaf"))
-    some = stored(parsed.join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "h", "g").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")))
+    """h, g, first_doc of every line that recurs or whose template does; parsed: _parsed(docs), stored."""
+    leaves = stored(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PAIR_DOCS).select("leaf", "n"))
+    some = stored(parsed.join(_small(leaves), "leaf").groupBy("leaf", "h", "g").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n")))
+    exact = some.filter(F.col("docs") >= PAIR_DOCS).select("h", "g", "first_doc")
+    # Short lines in leaves of two lines recur exactly or not at all.
+    some = some.filter((F.col("n") >= LEAST_DOCS) | (F.substring_index("leaf", " ", 1).cast("int") >= LONG_TOKENS)).drop("n")
     large = stored(some.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_LINES).select("leaf"))
     texts = _lines(docs).select("line", *_hashes()).join(_small(some.select("h", "g")), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.max("line").alias("line"))
     lines = stored(some.join(texts, ["h", "g"]).select("leaf", "h", "g", "docs", "first_doc", _tokens("line").alias("tokens")))
-    templates = stored(_templates(lines, large))
-    many = templates.groupBy("leaf", F.md5("template").alias("m")).agg(F.sum("docs").alias("n"), F.min("first_doc").alias("first")).filter(F.col("n") >= LEAST_DOCS)
-    return templates.withColumn("m", F.md5("template")).join(many, ["leaf", "m"]).select("h", "g", "template", F.col("first").alias("first_doc"))
+    templates = stored(_templates(lines, large).withColumn("m", F.md5("template")).drop("template"))
+    many = templates.groupBy("leaf", "least", "m").agg(F.sum("docs").alias("n"), F.min("first_doc").alias("first")).filter(F.col("n") >= F.col("least"))
+    found = templates.join(many, ["leaf", "least", "m"]).select("h", "g", F.col("first").alias("first_doc"))
+    return found.union(exact).groupBy("h", "g").agg(F.min("first_doc").alias("first_doc"))
 
 
 def _dropped(parsed: DataFrame, found: DataFrame) -> DataFrame:

@@ -85,6 +85,24 @@ def test_lines_templates_and_edges(spark, edge, none):
     assert set(edge.columns) < set(found[0].__fields__) and lines.without_repeats(none).count() == 0
 
 
+def test_lines_of_two_documents(spark):
+    long = " ".join(f"{a}{b}" for a in "abcde" for b in "vwxyz")
+    texts = ["first own text\nthank you very much", f"some\n{long} one", "second own text\nthank you very much", f"any\n{long} two", "all alone\nwe met at noon", "quite apart\nwe met at dawn"]
+    kept = {r.doc_id: (r.n_dropped, r.text) for r in lines.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {i: (0, t) for i, t in enumerate(texts)} | {2: (1, "second own text"), 3: (1, "any")}
+
+
+def test_lines_drop_what_their_sql_drops(spark, sf_dir):
+    """The SQL's templates need three documents, so that the operator may drop more, never less."""
+    from oracle import connect
+
+    from bucketscope.llm import queries
+
+    mine = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.QUERIES["op4_lines"](spark, sf_dir).collect()}
+    sql = {r[0]: r[1:3] for r in connect(sf_dir).execute(queries.ORACLES["op4_lines"]).fetchall()}
+    assert mine.keys() == sql.keys() and all(n == sql[i][0] and k >= sql[i][1] for i, (n, k) in mine.items())
+
+
 def test_shards_fit(spark, docs, edge, none):
     for limit in (20_000, 1 << 20):
         rows = sharding.shards(docs, limit).collect()
