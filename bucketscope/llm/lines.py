@@ -3,7 +3,7 @@
 A line falls into a leaf by its number of tokens and its first three tokens, tokens with a digit
 standing for any. Within a leaf a token is constant at its place if three documents' lines have
 it there; all others are variable fields. The line's template keeps the constant tokens, and is
-one if at least 70 % of its tokens are constant. A template that recurs in three documents or
+one if at least 70 % of its tokens are constant or have a digit, two constant ones among them. A template that recurs in three documents or
 more stays in the first of them (the least doc_id) and is dropped from the others. So does a line
 that recurs exactly in two documents or more, and the template of a line of sixteen tokens or
 more, with constants that two documents have; of several firsts the least counts.
@@ -26,6 +26,8 @@ from bucketscope.llm.tables import stored, table
 LEAD, LEAST_TOKENS, LEAST_DOCS, CONSTANT = 3, 4, 3, 70
 #: Documents from which on equal lines recur, and templates of at least LONG_TOKENS.
 PAIR_DOCS, LONG_TOKENS = 2, 16
+#: Constant tokens of a template, however many have digits.
+LEAST_FIXED = 2
 #: Leaves or lines that are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Different lines of a leaf that one task may hold.
@@ -78,7 +80,7 @@ def _templates(lines: DataFrame, large: DataFrame) -> DataFrame:
         part = F.struct("at", "token", F.when(F.col("token").rlike("[0-9]"), -1).otherwise(F.col("support")).alias("support"))
         out = rows.groupBy("leaf", "h", "g").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"))
         made = lambda n: f"transform(parts, x -> if(x.support >= {n}, x.token, '{ANY}'))"
-        whole = lambda n: f"size(filter(parts, x -> x.support >= {n})) * 100 >= size(parts) * {CONSTANT}"
+        whole = lambda n: f"size(filter(parts, x -> x.support >= {n})) >= {LEAST_FIXED} and size(filter(parts, x -> x.support >= {n} or x.support < 0)) * 100 >= size(parts) * {CONSTANT}"
         kinds = [f"if({whole(LEAST_DOCS)}, struct({LEAST_DOCS} as least, concat_ws(' ', {made(LEAST_DOCS)}) as template), null)"]
         kinds.append(f"if(size(parts) >= {LONG_TOKENS} and {whole(PAIR_DOCS)}, struct({PAIR_DOCS} as least, concat_ws(' ', {made(PAIR_DOCS)}) as template), null)")
         return out.select("leaf", "h", "g", "docs", "first_doc", F.inline(F.expr(f"filter(array({', '.join(kinds)}), x -> x is not null)")))

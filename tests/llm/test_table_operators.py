@@ -103,6 +103,13 @@ def test_lines_drop_what_their_sql_drops(spark, sf_dir):
     assert mine.keys() == sql.keys() and all(n == sql[i][0] and k >= sql[i][1] for i, (n, k) in mine.items())
 
 
+def test_lines_of_digits(spark):
+    log = lambda i: f"2024-01-0{i} 10:1{i}:12 user {i} logged in from 10.0.0.{i}"
+    texts = [f"{'abcd'[i]} own text of it\n{log(i)}\n1 2 3 4 {i}\n1 2 3 4 5" for i in range(4)]
+    kept = {r.doc_id: (r.n_dropped, r.text) for r in lines.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0: (0, texts[0])} | {i: (2, f"{'abcd'[i]} own text of it\n1 2 3 4 {i}") for i in range(1, 4)}
+
+
 def test_shards_fit(spark, docs, edge, none):
     for limit in (20_000, 1 << 20):
         rows = sharding.shards(docs, limit).collect()
