@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +39,19 @@ from bucketscope.llm.tables import stored, table
 #: Similarity in hundredths.
 LIKE = 80
 #: Shingles of a prefix bucket in the first filter, and of a task's outgoing batch.
-BUCKET_SHINGLES, BATCH_SHINGLES = 500_000, 2_000_000
+BUCKET_SHINGLES, BATCH_SHINGLES = 500_000, 1_000_000
 #: Candidate ids that are broadcast (8 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
-_MOST_MATCHES = 64
+#: Most matches l that an adaptive prefix may ask for; a longer prefix would only cost more, no pair depends on it.
+MOST_MATCHES = 64
+#: Members of a list that meet all of its others in one task.
+PIECE_ROWS = 5_000
+#: Step between bands of set sizes, within which pairs across components are met.
+BAND = 1.05
+#: A class of more than this share of the rows gets its component by broadcast; there are fewer than 1,000 such classes.
+HOT_SHARE = 1_000
+#: Stands for the classes of a shingle that several of a batch have.
+_NOBODY = 0xFFFF
 #: Stands for a null doc_id where texts are looked up again.
 _NO_ID = -(1 << 63)
 
@@ -83,9 +91,22 @@ def _matches(n):  # noqa: ANN001, ANN202
 def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
     """c, n of the classes whose hash prefixes hold enough shingles of other classes.
 
-    Prefixes travel as packed arrays of one batch and bucket of hashes, 6 bytes for a shingle and 2 for its class's place.
+    Prefixes travel as packed arrays of one batch and bucket of hashes, 6 bytes for a shingle and 2
+    for its class's place. A batch counts what its own classes share and sends every shingle once
+    at most, so that the commonest shingle comes as often as there are batches, not texts.
     """
 
+    def parted(c: np.ndarray, n: np.ndarray, k: np.ndarray) -> list[tuple]:
+        """Counts k of shared shingles of classes c, packed by the part that adds them up."""
+        part = (c.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        c, n, k, part = c[order], n[order], k[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(c) else np.zeros(1, np.int64)
+        return [(int(part[a]), c[a:b].tobytes(), n[a:b].tobytes(), k[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -96,19 +117,31 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             tokens = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
-            bucket = ((tokens >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+            c, n = np.array(ids, np.int64), np.array(sizes, np.int32)
+            held.clear()
+            ids.clear()
+            sizes.clear()
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            runs = np.diff(np.r_[starts, len(tokens)])
+            here = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(c)).astype(np.int32)
+            tokens, owner = tokens[starts], owner[starts]
+            owner[runs > 1] = _NOBODY
+            bucket = ((tokens >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = tokens[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            low, c, n = tokens.view(np.uint8).reshape(-1, 8)[:, :6], np.array(ids, np.int64), np.array(sizes, np.int32)
+            low = tokens.view(np.uint8).reshape(-1, 8)[:, :6]
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own, place = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(bucket[a]), low[a:b].tobytes(), place.astype(np.uint16).tobytes(), c[own].tobytes(), n[own].tobytes()))
-            held.clear()
-            ids.clear()
-            sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "tokens", "places", "classes", "sizes"])
+                place = np.where(owner[a:b] == _NOBODY, _NOBODY, place).astype(np.uint16)
+                own = own[own != _NOBODY]
+                rows.append((int(bucket[a]), c[own].tobytes(), n[own].tobytes(), None, low[a:b].tobytes(), place.tobytes()))
+            some = np.flatnonzero(here)
+            rows += [(*r, None, None) for r in parted(c[some], n[some], here[some])]
+            return batch(rows, ["bucket", "classes", "sizes", "counts", "tokens", "places"])
 
         for b in batches:
             for x in shingle_sets(b.column(0)):
@@ -125,16 +158,50 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield out()
 
-    def parted(c: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        part = (c.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        c, n, k, part = c[order], n[order], k[order], part[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(c) else np.zeros(1, np.int64)
-        rows = [(int(part[a]), c[a:b].tobytes(), n[a:b].tobytes(), k[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 3))], ["part", "classes", "sizes", "counts"])
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each class that had a shingle to itself in its batch, how many other batches have; counts pass through."""
+        names = ["part", "classes", "sizes", "counts"]
+        at: int | None = None
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        passed: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            done = list(passed)
+            passed.clear()
+            if rows:
+                tokens, nobody, c, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
+                rows.clear()
+                order = np.lexsort((c, nobody, tokens))
+                tokens, nobody, c, n = tokens[order], nobody[order], c[order], n[order]
+                fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (c[1:] != c[:-1]) | (nobody[1:] != nobody[:-1])]  # the same class from two batches counts once
+                tokens, nobody, c, n = tokens[fresh], nobody[fresh], c[fresh], n[fresh]
+                starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                runs = np.diff(np.r_[starts, len(tokens)])
+                common = np.repeat((runs > 1) | np.logical_or.reduceat(nobody, starts), runs) & ~nobody
+                c, first, k = np.unique(c[common], return_index=True, return_counts=True)
+                done += parted(c, n[common][first], k.astype(np.int32))
+            return batch(done, names)
+
+        for b in batches:
+            for bucket, own, size, count, tokens, places in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if bucket != at and (rows or passed):
+                    yield out()
+                at = bucket
+                if tokens is None:
+                    passed.append((bucket, own, size, count))
+                    continue
+                low = np.zeros((len(tokens) // 6, 8), np.uint8)
+                low[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+                place = np.frombuffer(places, np.uint16)
+                nobody = place == _NOBODY
+                place = np.where(nobody, 0, place)
+                own, size = (np.append(np.frombuffer(x, t), t(0)) for x, t in ((own, np.int64), (size, np.int32)))
+                rows.append((low.view(np.uint64).ravel(), nobody, np.where(nobody, 0, own[place]), np.where(nobody, 0, size[place]).astype(np.int32)))
+        if rows or passed:
+            yield out()
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums each class's counts; those that hold enough shared shingles stay."""
+        """Sums each class's counts; those that hold enough shared shingles stay. A class that is in several batches may be counted too high, never too low."""
         at: int | None = None
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -155,35 +222,7 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield out()
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: int | None = None
-        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            tokens, c, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
-            rows.clear()
-            order = np.lexsort((c, tokens))
-            tokens, c, n = tokens[order], c[order], n[order]
-            fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (c[1:] != c[:-1])]  # the same class from two tasks counts once
-            tokens, c, n = tokens[fresh], c[fresh], n[fresh]
-            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-            many = np.repeat(np.diff(np.r_[starts, len(tokens)]) > 1, np.diff(np.r_[starts, len(tokens)]))
-            c, first, k = np.unique(c[many], return_index=True, return_counts=True)
-            return parted(c, n[many][first], k.astype(np.int32))
-
-        for b in batches:
-            for bucket, tokens, places, own, size in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if bucket != at and rows:
-                    yield out()
-                at = bucket
-                low = np.zeros((len(tokens) // 6, 8), np.uint8)
-                low[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-                place = np.frombuffer(places, np.uint16)
-                rows.append((low.view(np.uint64).ravel(), np.frombuffer(own, np.int64)[place], np.frombuffer(size, np.int32)[place]))
-        if rows:
-            yield out()
-
-    packed = docs.select("text").mapInArrow(pack, "bucket int, tokens binary, places binary, classes binary, sizes binary")
+    packed = docs.select("text").mapInArrow(pack, "bucket int, classes binary, sizes binary, counts binary, tokens binary, places binary")
     counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "part int, classes binary, sizes binary, counts binary")
     return counts.repartition("part").sortWithinPartitions("part").mapInArrow(enough, "c long, n long")
 
@@ -213,23 +252,16 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     frequent = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = rows.join(frequent, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).filter(F.size("s") >= F.expr(f"(n * {LIKE} + 99) div 100"))
 
-    @F.pandas_udf("matches int, list array<struct<t: long, level: int>>")
-    def adapt(n: pd.Series, s: pd.Series) -> pd.DataFrame:
-        out = []
-        for size, held in zip(n, s, strict=True):
-            df = np.array([x["df"] for x in held], np.float64)
-            alone = size - len(held)  # shingles of no other class come first in the order
-            first = size - _alpha(size) + 1 - alone  # shared ones in the prefix of l = 1
-            most = int(min(_MOST_MATCHES, _alpha(size), len(held) - first + 1))
-            lists = np.cumsum(df)[np.arange(first, first + most) - 1]
-            wanted = np.arange(1, most + 1)
-            # Reading the lists, then verifying at most lists / l candidates, each as costly as its set is large.
-            best = int(np.argmin(lists + lists / wanted * size)) + 1
-            end = first + best - 1
-            out.append((best, [{"t": held[i]["t"], "level": max(1, i - first + 2)} for i in range(end)]))
-        return pd.DataFrame({"matches": [x[0] for x in out], "list": [x[1] for x in out]})
-
-    return shared.withColumn("p", adapt("n", "s")).select("c", "n", F.size("s").alias("s"), "p.matches", "p.list")
+    # first: shared shingles in the prefix of l = 1 (those of no other class come before them in the order).
+    # Reading the lists, then verifying at most lists / l candidates, each as costly as its set is large.
+    rows = shared.withColumn("first", F.expr(f"size(s) - (n * {LIKE} + 99) div 100 + 1").cast("int"))
+    begun = "aggregate(slice(s, 1, first - 1), 0D, (a, x) -> a + x.df)"
+    cost = "(a.total + x.df) * (1 + n / (a.l + 1))"
+    step = f"(a, x) -> named_struct('l', a.l + 1, 'total', a.total + x.df, 'best', if({cost} < a.cost, a.l + 1, a.best), 'cost', least(a.cost, {cost}))"
+    tried = f"slice(s, first, cast(least({MOST_MATCHES}, (n * {LIKE} + 99) div 100) as int))"
+    rows = rows.withColumn("matches", F.expr(f"aggregate({tried}, named_struct('l', 0, 'total', {begun}, 'best', 1, 'cost', double('Infinity')), {step}, a -> a.best)"))
+    prefix = F.expr("transform(slice(s, 1, first + matches - 1), (x, i) -> struct(x.t as t, greatest(1, i - first + 2) as level))")
+    return rows.select("c", "n", F.size("s").alias("s"), "matches", prefix.alias("list"))
 
 
 def _may(x: str, y: str) -> Column:
@@ -253,17 +285,10 @@ def _match_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= LIKE * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
-
     one = sets.select(F.col("c").alias("a"), F.col("s").alias("x"))
     two = sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return pairs.join(one, "a").join(two, "b").filter(linked("x", "y")).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return found.filter(f"both * {100 + LIKE} >= n * {LIKE}").select("a", "b")
 
 
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -286,10 +311,15 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     found = components(first)
     placed = lists.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     sizes = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "main")
-    rest = stored(placed.join(mixed, "t"))
-    x, y = rest.filter("root != main").alias("x"), rest.alias("y")
-    across = x.join(y, F.col("x.t") == F.col("y.t")).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_may("x", "y")).filter(_may_first("x", "y"))
+    mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.expr(f"cast((sum(k) - 1) div {PIECE_ROWS} + 1 as int)").alias("pieces"))
+    # Sizes of the sets that a member may link with, if this shingle is the first common one.
+    rest = placed.join(mixed.filter("roots > 1").drop("roots"), "t").withColumn("low", F.expr(f"(n * {LIKE} + 99) div 100")).withColumn("high", F.expr(f"least(n * 100 div {LIKE}, (s - at) * {100 + LIKE} div {LIKE} - n)"))
+    rest = stored(rest.filter("low <= high"))
+    band = lambda c: f"cast(floor(ln({c}) / ln({BAND})) as int)"
+    x = rest.filter("root != main").withColumn("piece", F.expr("pmod(xxhash64(c), pieces)").cast("int")).withColumn("band", F.explode(F.expr(f"sequence({band('low')}, {band('high')})"))).alias("x")
+    y = rest.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).withColumn("band", F.expr(band("n"))).alias("y")
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.piece") == F.col("y.piece"))
+    across = x.join(y, on).filter("x.root != y.root and (y.root = y.main or x.c < y.c)").filter(_may("x", "y")).filter(_may_first("x", "y"))
     across = across.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return first.union(_verified(_match_enough(across, prefixes), sets))
 
@@ -298,11 +328,15 @@ def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     known = stored(classes(docs))
     roots = components(links(docs, known))
-    reps = known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
+    reps = known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     linked = reps.join(roots.withColumnRenamed("node", "c"), "c")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    by_class = reps.join(linked.join(least, "root").select("c", "least"), "c", "left").select("c", F.coalesce("least", "rep").alias("component_id"))
-    return known.join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    by_class = stored(reps.join(linked.join(least, "root").select("c", "least"), "c", "left").select("c", "copies", F.coalesce("least", "rep").alias("component_id")))
+    many = (by_class.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(by_class.filter(F.col("copies") > many).drop("copies"))
+    few = known.join(hot.select("c"), "c", "left_anti").join(by_class.filter(F.col("copies") <= many).drop("copies"), "c", "left")
+    rows = few.unionByName(known.join(hot, "c"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
