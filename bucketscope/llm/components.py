@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketscope.llm.tables import stored
+from bucketscope.llm.tables import removed, stored
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,5 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        before = state
+        before, last = state, edges
         edges = stored(_stars(_stars(edges, small=False), small=True))
+        removed(last)

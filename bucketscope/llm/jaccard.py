@@ -18,8 +18,9 @@ sets that could join components is left out, nothing is capped.
 
 Null and empty texts have no shingles and link with nothing; fewer than five words form one
 shingle. Repeated rows are copies of each other. Very long texts are used whole; extra columns
-are ignored. An empty table gives an empty table. A null doc_id counts as any text, but is
-never a component's id unless it stands alone.
+are ignored, or kept by ``without_near_duplicates``, whatever their names. An empty table gives an
+empty table. A null doc_id counts as any text, but is never a component's id unless no other is
+in the component.
 """
 
 from __future__ import annotations
@@ -52,8 +53,6 @@ BAND = 1.05
 HOT_SHARE = 1_000
 #: Stands for the classes of a shingle that several of a batch have.
 _NOBODY = 0xFFFF
-#: Stands for a null doc_id where texts are looked up again.
-_NO_ID = -(1 << 63)
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -68,14 +67,18 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), c (class of equal sets)."""
+    """doc_id, row (a hash of the text), n (set size), c (class of equal sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(x), _class_of(x)) for x in shingle_sets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "n", "c"])
+            rows = [(len(x), _class_of(x)) for x in shingle_sets(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))], ["doc_id", "row", "n", "c"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, c long")
+    return docs.select(*_key(), "text").mapInArrow(run, "doc_id long, row long, n long, c long")
+
+
+def _key() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row")]
 
 
 def _alpha(n):  # noqa: ANN001, ANN202
@@ -228,7 +231,7 @@ def _may_link(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """c, n, s (sorted hashes) of the documents in ids."""
+    """c, n, s (sorted hashes) of the documents in ids (doc_id, row): one row for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,8 +241,10 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     known = ids.count()
     ids = F.broadcast(ids) if known <= BROADCAST_IDS else ids
-    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return chosen.select("text").mapInArrow(run, "c long, n long, s array<long>").filter("n > 0")
+    rows, ids = docs.select(*_key(), "text").alias("x"), ids.alias("y")
+    chosen = rows.join(ids, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.row") == F.col("y.row")), "left_semi")
+    sets = stored(chosen.select("text").mapInArrow(run, "c long, n long, s array<long>").filter("n > 0"))
+    return sets if sets.count() <= known else stored(sets.dropDuplicates(["c"]))  # a row that is repeated comes repeatedly
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -295,9 +300,8 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) between classes of known (doc_id, n, c): enough of them to join every component."""
     total = known.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-(total // 4) // BUCKET_SHINGLES))
-    reps = known.filter("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("doc_id"))
-    chosen = stored(_may_link(docs, buckets).join(reps, "c").select("doc_id"))
-    sets = stored(_sets(docs, chosen))
+    reps = known.filter("n > 0").groupBy("c").agg(F.min(F.struct("row", "doc_id")).alias("at"))
+    sets = _sets(docs, stored(_may_link(docs, buckets).join(reps, "c").select("at.doc_id", "at.row")))
     prefixes = stored(_prefixes(sets))
     # The first common shingle of two classes that link is in the shortest prefixes of both.
     lists = prefixes.select("c", "n", "s", F.posexplode("list").alias("at", "x")).filter("x.level = 1").select("x.t", "c", "n", "s", "at")
@@ -324,19 +328,43 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     return first.union(_verified(_match_enough(across, prefixes), sets))
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+def groups(docs: DataFrame) -> DataFrame:
+    """A row for each of docs: doc_id, row (a hash of the text), n, group (the same for all texts that reach each other; null without shingles), component_id."""
     known = stored(classes(docs))
     roots = components(links(docs, known))
     reps = known.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     linked = reps.join(roots.withColumnRenamed("node", "c"), "c")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    by_class = stored(reps.join(linked.join(least, "root").select("c", "least"), "c", "left").select("c", "copies", F.coalesce("least", "rep").alias("component_id")))
+    by_class = reps.join(linked.join(least, "root").select("c", "root", "least"), "c", "left")
+    by_class = stored(by_class.select("c", "copies", F.coalesce("root", "c").alias("group"), F.coalesce("least", "rep").alias("component_id")))
     many = (by_class.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
     hot = F.broadcast(by_class.filter(F.col("copies") > many).drop("copies"))
     few = known.join(hot.select("c"), "c", "left_anti").join(by_class.filter(F.col("copies") <= many).drop("copies"), "c", "left")
     rows = few.unionByName(known.join(hot, "c"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    return groups(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of texts that reach each other by links: that of the least doc_id (nulls last), then of the least hash of its text; of rows equal in both, any one. Texts without shingles all stay."""
+    rows = stored(groups(docs).filter("group is not null").select("doc_id", "row", "group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = rows.groupBy("group").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    kept = stored(kept.select("group", F.col("k.doc_id").alias("kept_id"), F.col("k.row").alias("kept_row")))
+    gone = rows.join(kept, "group").filter("not (doc_id <=> kept_id and row = kept_row)").select("doc_id", "row").distinct()
+    again = stored(rows.join(kept, "group").filter("doc_id <=> kept_id and row = kept_row").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"))
+    named = docs.select(F.struct("*").alias("doc"), *_key()).alias("x")
+    out = lambda df: df.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    same = lambda y: F.col("x.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col("x.row") == F.col(f"{y}.row"))
+    left = named.join(gone.alias("g"), same("g"), "left_anti")
+    if again.isEmpty():
+        return out(left)
+    once = named.join(again.alias("a"), same("a"), "left_semi").groupBy("doc_id", "row").agg(F.first("doc").alias("doc"))
+    return out(left.join(again.alias("a"), same("a"), "left_anti")).unionByName(out(once))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

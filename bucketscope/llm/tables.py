@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,13 +24,16 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own, but on one machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="checkpoint-"))
-        at = _OWN[0]
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="checkpoint-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -36,4 +41,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _AT[id(out)] = (out, at)
+    return out
+
+
+#: Folders of what ``stored`` gave, for ``removed``.
+_AT: dict[int, tuple[DataFrame, str]] = {}
+
+
+def removed(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for frames that nothing will read again."""
+    for df in frames:
+        known = _AT.pop(id(df), None)
+        if known:
+            delete(df.sparkSession, known[1])
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
