@@ -10,7 +10,9 @@ turn that went in, the text holds control strings: they are escaped (a backslash
 beside those already there) and the turn is read again, until it is identical. The parser takes
 one backslash off every control string that has any before it, so a text that happens to look
 escaped is a conflict, too. A turn that reads back alone reads back the same in a conversation,
-since its end is certain; conversations are thus rendered turn by turn, on all executors.
+since its end is certain; conversations are thus rendered turn by turn, on all executors, and
+``digests`` reads the text of the whole conversation back as a stream, without knowing where a
+turn was. Work grows with a text's length, whatever is in it.
 
 Null texts and null roles count as empty; turns are in order of turn (nulls first), then role,
 then text; repeated rows are repeated turns. Very long texts are rendered whole. A conversation
@@ -35,7 +37,8 @@ START, END = "### ", "</turn>"
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 _BY_NAME = {v: k for k, v in ROLES.items()}
 _HEAD = re.compile(r"### (?:(System|User|Assistant)|=([0-9a-f]*)): ")
-_CONTROL = re.compile(r"(\\*)(### |</turn>)")
+#: A run of backslashes is tried from its start only, and as a whole.
+_CONTROL = re.compile(r"(?<!\\)(\\*+)(### |</turn>)")
 #: The role whose texts a model learns to write.
 LOSS_ROLE = "assistant"
 
@@ -53,20 +56,41 @@ def _render(role: str, body: str) -> str:
     return f"{START}{name}: {body}\n{END}\n"
 
 
+class Reader:
+    """Reads turns from a stream of text, cut anywhere."""
+
+    def __init__(self) -> None:
+        self.rest = ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, text, start and end of its body in what was held) of each turn that ends in the text so far."""
+        text, at = self.rest + piece, 0
+        while at < len(text):
+            head = _HEAD.match(text, at)
+            stop = text.find(f"\n{END}\n", head.end()) if head else -1
+            if stop < 0:
+                break
+            body = text[head.end() : stop]
+            if _unsafe(body):
+                raise ValueError("a control string without an escape")
+            role = _BY_NAME[head[1]] if head[1] else bytes.fromhex(head[2]).decode("utf-8", "surrogatepass")
+            yield role, unescaped(body), head.end(), stop
+            at = stop + len(END) + 2
+        self.rest = text[at:]
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the text ends within a turn")
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
     """(role, text, start and end of its body) of each turn; None if the text isn't a row of turns."""
-    turns, at = [], 0
-    while at < len(formatted):
-        head = _HEAD.match(formatted, at)
-        stop = formatted.find(f"\n{END}\n", head.end() - 1) if head else -1
-        if stop < 0:
-            return None
-        body = formatted[head.end() : max(stop, head.end())]
-        if _unsafe(body):
-            return None
-        role = _BY_NAME[head[1]] if head[1] else bytes.fromhex(head[2]).decode("utf-8", "surrogatepass")
-        turns.append((role, unescaped(body), head.end(), head.end() + len(body)))
-        at = stop + len(END) + 2
+    reader = Reader()
+    try:
+        turns = list(reader.feed(formatted))
+        reader.close()
+    except ValueError:
+        return None
     return turns
 
 
@@ -97,7 +121,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         return pd.DataFrame([render(r, t) for r, t in zip(role, text, strict=True)], columns=["formatted", "escapes"])
 
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("_", of("role", "text")).select("conv_id", "turn", "role", "text", "_.*")
+    return rows.withColumn("made", of("role", "text")).select("conv_id", "turn", "role", "text", "made.*")
 
 
 def _in_order(turns: DataFrame) -> DataFrame:
@@ -130,7 +154,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """What reading the rendered turns of each conversation gives back, turn after turn: memory holds one turn."""
+    """What reading each conversation's formatted text back gives: memory holds one turn of it."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +167,7 @@ def digests(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         def close() -> None:
+            state["reader"].close()
             done.append((conv, state["n"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["size"]))
 
         for b in batches:
@@ -150,8 +175,8 @@ def digests(turns: DataFrame) -> DataFrame:
                 if state is None or own != conv:
                     if state is not None:
                         close()
-                    conv, state = own, {"n": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0}
-                for role, text, _, _ in parse(formatted):
+                    conv, state = own, {"n": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "reader": Reader()}
+                for role, text, _, _ in state["reader"].feed(formatted):
                     state["n"] += 1
                     state["all"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                     if role == LOSS_ROLE:
