@@ -6,6 +6,10 @@ are compiled with their ids into an automaton that shares prefixes and suffixes
 each word up by walking the automaton, whose arc outputs add up to the word's row in the id
 table; a word that is not in it is merged exactly, pair by pair, for many words at once.
 
+Texts are normalised and split with Python's Unicode tables. Raw words with a letter that the
+vocabulary's own rules take otherwise (newer Unicode; found once, over all code points) go
+through those rules instead.
+
 Nulls and empty texts give no ids. Very long texts are encoded whole. Equal texts give equal
 ids; repeated rows give repeated results. Extra columns pass through ``encode``; a column
 already named as an output is replaced. An empty table gives an empty table.
@@ -13,13 +17,16 @@ already named as an output is replaced. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
 import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,9 +36,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from bucketscope.llm.columnar import gathered
-from bucketscope.llm.tables import stored, table
+from bucketscope.llm.tables import removed, stored, table
 
 #: Most words compiled into the lexicon: the most frequent of the whole corpus.
 LEXICON_WORDS = 65_536
@@ -46,19 +54,11 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _BLANK +
 _LINED = regex.compile(_WORD.pattern + r"|\n")
 _SPACE = regex.compile(f"[{_BLANK}]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Capital letters newer than Python's tables, and how far their small letters are.
-_NEWER = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC} | dict.fromkeys(range(0x10D50, 0x10D66), 0x20) | dict.fromkeys(range(0x16EA0, 0x16EB9), 0x1B)
-_NEWER_SMALL = {c: c + d for c, d in _NEWER.items()}
-_ANY_NEWER = regex.compile("[" + "".join(map(chr, _NEWER)) + "]")
-
-
 def normalised(text: str) -> str:
     """NFC and lower case, letter by letter (no final sigma)."""
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
-    if _ANY_NEWER.search(text):
-        text = text.translate(_NEWER_SMALL)
     low = text.lower()
     return "".join(c.lower() for c in text) if "ς" in low else low
 
@@ -80,6 +80,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+_BYTE_OF = {c: b for b, c in enumerate(byte_letters())}
+
+
+def odd_letters(splitter: str) -> str:
+    """A pattern of the code points that Python's Unicode tables take otherwise than the vocabulary's do: class, lower case or composition; those that Python does not know yet are all among them."""
+    rules = Tokenizer.from_str(splitter)
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    odd = {c for c, k in enumerate(kinds) if k == "Cn"}
+    known = [c for c, k in enumerate(kinds) if k not in ("Cn", "Co", "Cs")]  # private ones are alike everywhere
+    space = regex.compile(f"[{_BLANK}]")
+    differs = lambda text: rules.normalizer.normalize_str(text) != normalised(text)
+    odd |= {c for c in known if not space.match(chr(c)) and differs(chr(c))}
+    odd |= {c for c in known if unicodedata.combining(chr(c)) and any(differs(x) for m in "\u0334\u0315" for x in (f"a{chr(c)}{m}", f"a{m}{chr(c)}"))}  # the order of marks
+    for before in "a!":  # what a letter or a mark forms one word with
+        for i in range(0, len(known), 1 << 16):
+            part = known[i : i + (1 << 16)]
+            text = "".join(f"{before}{chr(c)} " for c in part)
+            theirs, mine = ({x for x in found} for found in ((span for _, span in rules.pre_tokenizer.pre_tokenize_str(text)), (m.span() for m in _WORD.finditer(text))))
+            odd |= {part[a // 3] for a, _ in theirs ^ mine}
+    starts = sorted(c for c in odd if c - 1 not in odd)
+    ends = sorted(c for c in odd if c + 1 not in odd)
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 class Vocabulary:
     """Token strings, merge ranks and special tokens, as flat arrays."""
 
@@ -98,13 +122,19 @@ class Vocabulary:
         spaced = [f" {t}".encode() for t in tokens]
         self.shown, self.shown_at, self.shown_len = _packed(spaced)
         self.digits, self.digits_at, self.digits_len = _packed([f" {i}".encode() for i in range(self.size)])
+        self.splitter, self.odd = None, None
 
     @classmethod
+    @lru_cache(2)
     def read(cls, path: str) -> Vocabulary:
         data = json.loads(Path(path).read_text())
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         by_id = {i: t for t, i in data["model"]["vocab"].items()} | {i: t for t, i in special.items()}
-        return cls([by_id[i] for i in range(max(by_id) + 1)], [tuple(m) for m in data["model"]["merges"]], special)
+        out = cls([by_id[i] for i in range(max(by_id) + 1)], [tuple(m) for m in data["model"]["merges"]], special)
+        # The vocabulary's normaliser and splitter, without its model.
+        out.splitter = json.dumps(data | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"a": 0}, "unk_token": "a"}})
+        out.odd = odd_letters(out.splitter)
+        return out
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (UTF-8) and the number of each, merged exactly: always the pair of lowest rank, the leftmost first."""
@@ -327,6 +357,8 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
+        self.odd = regex.compile(vocabulary.odd) if vocabulary.odd else None
+        self.rules = None
         self._forget()
 
     def _forget(self) -> None:
@@ -345,8 +377,20 @@ class Encoder:
             out += [part] if part in self.vocabulary.special else split_raw(part)
         return out
 
+    def _odd_words(self, word: str) -> list[str]:
+        """The words of a raw word with an odd letter, by the vocabulary's own rules."""
+        self.rules = self.rules or Tokenizer.from_str(self.vocabulary.splitter)
+        pieces = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(word))
+        return [bytes(_BYTE_OF[c] for c in p).decode() for p, _ in pieces]
+
     def _learn(self, raw: list[str]) -> None:
-        found = words_of(raw)
+        odd: list[str] = []
+        if self.odd is not None and self.odd.search("\n".join(raw)):
+            odd = [w for w in raw if self.odd.search(w)]
+            raw = list(set(raw).difference(odd)) + odd
+        found = words_of(raw[: len(raw) - len(odd)])
+        for w in odd:
+            found += [*self._odd_words(w), "\n"]
         place = {w: i for i, w in enumerate(dict.fromkeys(found))}
         members = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
         line = place.pop("\n")
@@ -429,25 +473,39 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compiles the most frequent words of docs, as many as there are of the same frequency or none of them, and gives the file to all executors; returns its name."""
+    """Compiles the most frequent words of docs and gives the file to all executors; returns its name.
+
+    At most `words` words: of those of about the same frequency that don't all fit, a part by hash.
+    """
     counts = stored(word_counts(docs, text))
-    # Frequencies in steps of 2 ** (1 / 16): at most 1,024 rows reach the driver, then at most `words` words.
+    # Frequencies in steps of 2 ** (1 / 16): at most 1,024 rows reach the driver, then at most about `words` words.
     step = F.floor(F.log2("n") * 16).cast("int")
-    taken, least = 0, None
+    taken, chosen = 0, F.lit(False)
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        if taken + r["count"] > words:
+        room = (words - taken) / r["count"]
+        part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(0.95 * room * (1 << 20))
+        chosen = chosen | ((step == r["step"]) & part if room < 1 else step == r["step"])
+        taken += r["count"]
+        if taken >= words:
             break
-        taken, least = taken + r["count"], r["step"]
-    top = counts.filter(step >= (1 << 30 if least is None else least)).select("word").toPandas()
+    top = counts.filter(chosen).select("word").toPandas().sort_values("word")
     lexicon = Lexicon.compile([w.encode() for w in top["word"]], vocabulary)
-    at = Path(tempfile.mkdtemp(prefix="lexicon-")) / "lexicon"
-    lexicon.save(str(at))
     name = f"lexicon-{uuid.uuid4().hex}"  # a context takes each name once
-    at = at.rename(at.with_name(name))
-    docs.sparkSession.sparkContext.addFile(str(at))
+    at = Path(_folder()) / name
+    lexicon.save(str(at))
+    docs.sparkSession.sparkContext.addFile(str(at))  # the driver serves it to the executors
+    removed(counts)
     return name
 
 
+@lru_cache(1)
+def _folder() -> str:
+    """The driver's folder of lexicons; it goes with the driver."""
+    at = tempfile.mkdtemp(prefix="lexicon-")
+    atexit.register(shutil.rmtree, at, True)
+    return at
+
+
 def encoder_of(name: str, vocabulary) -> Encoder:  # noqa: ANN001  (a broadcast Vocabulary)
     """A task's encoder; what it remembers goes with the task."""
     return Encoder(vocabulary.value, Lexicon.mapped(SparkFiles.get(name)))
