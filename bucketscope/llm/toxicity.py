@@ -3,8 +3,9 @@
 A word enters as the embedding of its hash beside the mean embedding of its runs of three and of
 six bytes. Windows of 32 words, each overlapping the next by 8, cover the whole text; every
 window is scored, and a document's score is the calibrated maximum. The network learns from a
-bounded sample of labelled documents (``SAMPLE_DOCS``, half of each label, by a hash of the id,
-up to ``SAMPLE_WINDOWS`` windows of each); a third of them calibrate instead.
+bounded sample of the labelled documents that are there (``SAMPLE_DOCS``, half of each label, by
+a hash of the id, up to ``SAMPLE_WINDOWS`` windows of each, evenly spaced in longer ones), from
+random embeddings; a third of them calibrate instead.
 
 Null and empty texts score as an empty window does. Very long texts are scored whole, window by
 window. Equal texts and repeated rows get equal scores; extra columns pass through ``score``,
@@ -26,7 +27,7 @@ from bucketscope.llm.columnar import lowered, mixed, slices, word_bounds, word_h
 from bucketscope.llm.tables import fold, table
 
 WINDOW, OVERLAP = 32, 8
-SAMPLE_DOCS, SAMPLE_WINDOWS = 3_000, 8
+SAMPLE_DOCS, SAMPLE_WINDOWS = 3_000, 256
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 SLOT_BITS = 20
@@ -35,11 +36,11 @@ _SLICE = 1 << 19
 #: Share of the training steps in which every window of a document of label 1 teaches.
 WARM = 0.3
 #: Learning rates of the network and of the embeddings, and how fast embeddings fade.
-RATE, RATE_TABLE, DECAY = 0.01, 0.01, 1e-4
+RATE, RATE_TABLE, DECAY = 0.01, 0.02, 1e-4
+#: Least scale of a row's gradient, as a share of the largest one in its table.
+LEAST_SCALE = 1e-2
 #: Documents of the sample that must have a word or a run of bytes for it to count.
 LEAST_DOCS = 4
-#: Documents added to each count of the first log-odds.
-SMOOTH = 4.0
 _BATCH = 2048
 #: Documents whose byte runs are counted at once.
 _AT_ONCE = 64
@@ -111,7 +112,7 @@ class Network:
         for d in "fb":  # forwards, backwards
             self.p |= {f"x{d}": normal(e**-0.5, e, 3 * h), f"h{d}": normal(h**-0.5, h, 3 * h), f"c{d}": np.zeros(3 * h, np.float32)}
         self.p |= {"a": normal((2 * h) ** -0.5, 2 * h, a), "ab": np.zeros(a, np.float32), "v": normal(0.5, a), "o": normal((2 * h) ** -0.5, 2 * h), "ob": np.zeros(1, np.float32)}
-        self.slope, self.shift = 1.0, 0.0
+        self.knots, self.heights = np.zeros(1), np.zeros(1)
 
     def bound(self, w: Words) -> Words:
         w.rows, w.grams = self.known["word"].rows(w.keys), self.known["gram"].rows(w.gram_keys)
@@ -226,38 +227,29 @@ class Network:
         np.add.at(g["gram"], part.grams, np.repeat(demb[:, _SIZES["word"] :] / part.size[:, None], n, axis=0))
         return loss, g
 
+    def _start(self, w: Words, owner: np.ndarray, rng: np.random.Generator) -> None:
+        """Gives a row, of random numbers at first, to the words and byte runs that enough documents have. owner: document of each word, ascending."""
+        pairs = np.unique(owner * len(w.keys) + w.place)  # each word once a document
+        owner, word = pairs // len(w.keys), pairs % len(w.keys)
+        cuts = np.searchsorted(owner, np.arange(0, int(owner.max()) + 1 + _AT_ONCE, _AT_ONCE))
+        for name in ("word", "gram"):
+            parts = [self._having(w, name, owner[i:j], word[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            docs = np.bincount(at, np.concatenate([n for _, n in parts]), len(keys))
+            order = np.argsort(docs, kind="stable")
+            self.known[name] = Known(keys[order][docs[order] >= LEAST_DOCS])
+            self.p[name] = (rng.standard_normal((self.known[name].size, _SIZES[name])) * 0.1).astype(np.float32)
+            self.p[name][-1] = 0
+
     @staticmethod
-    def _hits(w: Words, name: str, owner: np.ndarray, word: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of some documents' words or byte runs, and how many documents of either label have each."""
+    def _having(w: Words, name: str, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of some documents' words or byte runs, and how many of the documents have each."""
         keys, docs = w.keys[word], owner
         if name == "gram":
             size = w.size[word].astype(np.int64)
             keys, docs = w.gram_keys[np.repeat(w.begin[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], np.repeat(owner, size)
         known, place = np.unique(keys, return_inverse=True)
-        pairs = np.unique(docs * len(known) + place)
-        docs, place = pairs // len(known), pairs % len(known)
-        return known, np.stack([np.bincount(place[label[docs] == k], minlength=len(known)) for k in (0, 1)])
-
-    def _start(self, w: Words, owner: np.ndarray, place: np.ndarray, y: np.ndarray) -> None:
-        """Gives a row to what enough documents have; its first coordinate is the smoothed log-odds of the labels. owner: document of each word."""
-        label = np.zeros(place.max() + 1, np.int64)
-        label[place] = y > 0
-        pairs = np.unique(owner * len(w.keys) + w.place)  # each word once a document
-        owner, word = pairs // len(w.keys), pairs % len(w.keys)
-        n = np.bincount(label, minlength=2) + SMOOTH
-        cuts = np.searchsorted(owner, np.arange(0, len(label) + _AT_ONCE, _AT_ONCE))
-        for name in ("word", "gram"):
-            parts = [self._hits(w, name, owner[i:j], word[i:j], label) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
-            all_keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            hits = np.stack([np.bincount(at, np.concatenate([h[i] for _, h in parts]), len(all_keys)) for i in (0, 1)])
-            order = np.argsort(hits.sum(0), kind="stable")
-            order = order[hits.sum(0)[order] >= LEAST_DOCS]
-            self.known[name] = Known(all_keys[order])
-            odds = 0.5 * (np.log((hits[1] + SMOOTH * n[1] / n.sum()) / n[1]) - np.log((hits[0] + SMOOTH * n[0] / n.sum()) / n[0]))
-            table = np.zeros((self.known[name].size, _SIZES[name]), np.float32)
-            table[self.known[name].rows(all_keys[order]), 0] = odds[order]
-            table[-1] = 0
-            self.p[name] = table
+        return known, np.bincount(np.unique(docs * len(known) + place) % len(known), minlength=len(known))
 
     def fit(self, texts: list[str], labels: np.ndarray, group: np.ndarray, steps: int = 300, batch: int = 256, seed: int = 5) -> None:
         """texts: one window each; group: its document. In the later steps a document of label 1 teaches by its highest window and those above zero only: the rest of its words may be harmless."""
@@ -266,10 +258,10 @@ class Network:
         begin, size = first[:-1], np.minimum(WINDOW, np.diff(first))
         y = labels.astype(np.float32)
         _, place = np.unique(group, return_inverse=True)
-        self._start(w, np.repeat(place, np.diff(first)), place, y)
+        self._start(w, np.repeat(place, np.diff(first)), rng)
         self.bound(w)
         moment = {k: np.zeros_like(v) for k, v in self.p.items()}
-        square = {k: np.zeros_like(v) for k, v in self.p.items()}
+        square = {k: np.zeros((len(v), 1), np.float32) if k in ("word", "gram") else np.zeros_like(v) for k, v in self.p.items()}
         t, trust = 0, np.ones(len(y))
         while t < steps:
             if t >= steps * WARM:
@@ -285,25 +277,36 @@ class Network:
                 t += 1
                 for k, v in self.p.items():
                     moment[k] = 0.9 * moment[k] + 0.1 * g[k]
-                    table = k in ("word", "gram")  # one scale for a whole table: words of many windows learn most
-                    square[k] = 0.99 * square[k] + 0.01 * (np.max(g[k] ** 2) if table else g[k] ** 2)
+                    table = k in ("word", "gram")  # one scale for a row; those of few windows learn less
+                    own = np.mean(g[k] ** 2, axis=1, keepdims=True) if table else g[k] ** 2
+                    square[k] = 0.99 * square[k] + 0.01 * (np.maximum(own, LEAST_SCALE * np.max(g[k] ** 2)) if table else own)
                     v *= 1 - (DECAY if table else 0)
                     if table:
                         moment[k][-1] = 0  # what was hardly seen says nothing
                     v -= (RATE_TABLE if table else RATE) * (moment[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-7)
 
     def calibrate(self, most: np.ndarray, labels: np.ndarray, share: float) -> None:
-        """Logistic regression of the label on a document's highest logit, by Newton's method; share: of label 1 among all labelled documents."""
-        scale = max(1e-6, float(np.abs(most).max()))
-        x, y, b = np.stack([most / scale, np.ones(len(most))], 1), labels.astype(np.float64), np.zeros(2)
+        """Isotonic regression of the label on a document's highest logit, straight lines between its steps; share: of label 1 among all labelled documents.
+
+        Unlike a sigmoid it is not flattened by documents of label 1 that look like any other.
+        """
+        order = np.lexsort((labels, most))
+        x, y = most[order].astype(np.float64), labels[order].astype(np.float64)
         weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-        for _ in range(50):
-            q = _sigmoid(x @ b)
-            b = b + np.linalg.solve(x.T @ (x * (weight * q * (1 - q))[:, None]) + 1e-2 * np.eye(2), x.T @ (weight * (y - q)) - 1e-2 * b)
-        self.slope, self.shift = float(b[0]) / scale, float(b[1])
+        blocks: list[list[float]] = []  # weight of label 1, weight, first and last logit
+        for v, t, w in zip(x, y, weight, strict=True):
+            blocks.append([w * t, w, v, v])
+            while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+                up, total, _, last = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + up, blocks[-1][1] + total, blocks[-1][2], last]
+        p = np.array([(b[0] + share) / (b[1] + 1) for b in blocks])
+        p = np.maximum.accumulate(p)
+        self.knots, self.heights = np.array([z for b in blocks for z in b[2:]]), np.repeat(p, 2)
 
     def scores(self, most: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * most.astype(np.float64) + self.shift)
+        """A hundredth of the score keeps the order of the logits where the regression is level."""
+        x = most.astype(np.float64)
+        return 0.99 * np.interp(x, self.knots, self.heights) + 0.01 * _sigmoid(x)
 
 
 def laid(place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,6 +342,7 @@ def _known(labels: DataFrame) -> DataFrame:
 def _chosen(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the documents to learn from; their ids, SAMPLE_DOCS at most, are broadcast."""
     known = _known(labels).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of absent documents teach nothing
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS // 2) for k in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
@@ -369,31 +373,37 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     network.fit(rows["text"][for_fit].tolist(), rows["toxic"].to_numpy()[for_fit], rows["doc_id"].to_numpy()[for_fit])
     rest = set(rows["doc_id"][~for_fit]) or set(rows["doc_id"])
     held = chosen.filter(F.col("doc_id").isin([int(x) for x in rest]))
-    most = with_highest(held, network).select("doc_id", "most", "toxic").toPandas().sort_values("doc_id")
+    model = docs.sparkSession.sparkContext.broadcast(network)
+    most = held.select("doc_id", _highest(model)("text").alias("most"), "toxic").toPandas().sort_values("doc_id")
     share = _known(labels).agg(F.avg("toxic")).first()[0]
     network.calibrate(most["most"].to_numpy(), most["toxic"].to_numpy(), share)
     return network
 
 
-def with_highest(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
-    """docs with ``most float``: the highest logit of any window."""
-    model = docs.sparkSession.sparkContext.broadcast(network)  # under 1 MB
+def _highest(network: Network):  # noqa: ANN202
+    """A function of a text column: the highest logit of any window."""
 
     @F.pandas_udf("float")
     def of(column: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.zeros(0, np.float32), *highest(model.value, pa.array(column, pa.large_string()))]))
+        return pd.Series(np.concatenate([np.zeros(0, np.float32), *highest(network.value, pa.array(column, pa.large_string()))]))
 
-    return docs.withColumn("most", of(F.col(text)))
+    return of
 
 
 def score(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """docs with ``score double`` and ``predicted int``."""
-    docs = docs.drop("score", "predicted", "most")
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
     if network is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    found = with_highest(docs, network, text)
-    logit = F.lit(network.slope) * F.col("most").cast("double") + F.lit(network.shift)
-    return found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("most")
+        return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    model = docs.sparkSession.sparkContext.broadcast(network)  # a few MB
+
+    @F.pandas_udf("double")
+    def of(column: pd.Series) -> pd.Series:
+        most = np.concatenate([np.zeros(0, np.float32), *highest(model.value, pa.array(column, pa.large_string()))])
+        return pd.Series(model.value.scores(most))
+
+    found = docs.select(F.struct("*").alias("row"), of(F.col(text)).alias("score"))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
