@@ -162,7 +162,21 @@ f AS (SELECT doc_id, item_id, count(DISTINCT h) AS n_windows, any_value(item_win
 s AS (SELECT DISTINCT hit.doc_id, hit.item_id, i.w[ip + j].v AS iv, d.w[dp + j].v AS dv
       FROM hit JOIN i USING (item_id) JOIN d USING (doc_id), (SELECT unnest(range(0, {WINDOW})) AS j)
       WHERE j < hit.k AND i.w[ip + j].t IN ('<number>', '<unit>', '<name>')),
-a AS (SELECT doc_id, item_id, count(*) AS pairs, count(DISTINCT iv) AS n_slots, count(DISTINCT dv) AS vals FROM s GROUP BY 1, 2)
-SELECT doc_id, item_id, n_windows, item_windows, coalesce(n_slots, 0) AS n_slots FROM f LEFT JOIN a USING (doc_id, item_id)
-WHERE pairs IS NULL OR (pairs = n_slots AND pairs = vals)
+a AS (SELECT doc_id, item_id, count(*) AS pairs, count(DISTINCT iv) AS n_slots, count(DISTINCT dv) AS vals FROM s GROUP BY 1, 2),
+fa AS (SELECT f.*, coalesce(n_slots, 0) AS n_slots, pairs IS NULL OR (pairs = n_slots AND pairs = vals) AS agrees FROM f LEFT JOIN a USING (doc_id, item_id)),
+th AS (SELECT hit.*, dp - ip AS off, ip - row_number() OVER (PARTITION BY hit.doc_id, hit.item_id, dp - ip ORDER BY ip) AS run FROM hit JOIN fa USING (doc_id, item_id) WHERE NOT agrees),
+tl AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, off, run) AS length FROM th),
+sd AS (SELECT DISTINCT doc_id, item_id, off AS seed, reach FROM tl JOIN i USING (item_id), (SELECT unnest([0, 1]) AS wide), LATERAL (SELECT wide * least({SHIFT}, (len(i.w) - 1) // 2) AS reach)),
+nr AS (SELECT tl.*, seed, reach, row_number() OVER (PARTITION BY doc_id, item_id, seed, reach, ip ORDER BY length DESC, abs(off - seed), off) AS x,
+       row_number() OVER (PARTITION BY doc_id, item_id, seed, reach, dp ORDER BY length DESC, abs(off - seed), off) AS y
+       FROM tl JOIN sd USING (doc_id, item_id) WHERE abs(off - seed) <= reach),
+nb AS (SELECT * FROM nr WHERE x = 1 AND y = 1),
+cv AS (SELECT doc_id, item_id, seed, reach FROM nb JOIN n USING (item_id) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT h) * 100 >= any_value(item_windows) * {COVER}),
+os AS (SELECT DISTINCT nb.doc_id, nb.item_id, seed, reach, i.w[ip + j].v AS iv, d.w[dp + j].v AS dv
+       FROM nb JOIN cv USING (doc_id, item_id, seed, reach) JOIN i USING (item_id) JOIN d USING (doc_id), (SELECT unnest(range(0, {WINDOW})) AS j)
+       WHERE j < nb.k AND i.w[ip + j].t IN ('<number>', '<unit>', '<name>')),
+oa AS (SELECT doc_id, item_id, seed, reach, count(*) AS pairs, count(DISTINCT iv) AS slots, count(DISTINCT dv) AS vals FROM os GROUP BY 1, 2, 3, 4),
+oc AS (SELECT doc_id, item_id, max(coalesce(slots, 0)) AS n_slots FROM cv LEFT JOIN oa USING (doc_id, item_id, seed, reach) WHERE pairs IS NULL OR (pairs = slots AND pairs = vals) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_windows, item_windows, n_slots FROM fa WHERE agrees
+UNION ALL SELECT doc_id, item_id, n_windows, item_windows, oc.n_slots FROM fa JOIN oc USING (doc_id, item_id) WHERE NOT agrees
 """

@@ -129,7 +129,8 @@ def likeness(prints: DataFrame, a: str = "a", b: str = "b", k: int = K) -> DataF
         rows = [(unpacked(p), unpacked(q)) for p, q in zip(x, y, strict=True)]
         return pd.DataFrame({"resemblance": [resemblance(p, q, k) for p, q in rows], "containment": [containment(p, q, k) for p, q in rows], "distinct": [distinct(p, k) for p, _ in rows]})
 
-    return prints.withColumn("_", of(F.col(a), F.col(b))).select(*prints.columns, "_.*")
+    found = prints.select(F.struct("*").alias("row"), of(F.col(a), F.col(b)).alias("like"))
+    return found.select(*[F.col(f"row.`{c}`") for c in prints.columns if c not in ("resemblance", "containment", "distinct")], "like.*")
 
 
 _LEAST = -(1 << 63)

@@ -6,7 +6,7 @@ weighted by how well its classifier knew that language in training. Where the ru
 nearly as close, the text is flagged as ambiguous.
 
 The classifiers learn from a bounded sample of labelled documents outside the held-out fold
-(``SAMPLE_DOCS`` in all, the same number of each language, chosen by a hash of the id); texts
+(``SAMPLE_DOCS`` in all, the same number of each of at most ``MOST_LANGS`` languages, chosen by a hash of the id); texts
 are counted on the executors, so the driver holds n-gram counts of the sample only.
 
 A null or empty text, or one without a letter, is ``und`` with score 0, as is every text when
@@ -29,6 +29,8 @@ from bucketscope.llm.tables import fold, table
 
 #: Labelled documents to learn from, in all.
 SAMPLE_DOCS = 2_000
+#: Most languages that are learned: the most frequent ones (ties in order of the alphabet).
+MOST_LANGS = 200
 #: Counters of hashed n-grams of two and of three bytes.
 BITS = 11
 #: Runner-up within this share of the score: ambiguous.
@@ -138,13 +140,12 @@ class Coder:
 def _sample(docs: DataFrame) -> DataFrame:
     """doc_id, lang, grams, counts of the documents to learn from."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", HELD_OUT_FOLDS) != 0))
-    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     langs = known.count()
     each = max(20, SAMPLE_DOCS // max(1, langs))
     # A language's share of hashes leaves about twice as many as are wanted, then the first of them are taken.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = F.broadcast(known) if langs <= SAMPLE_DOCS else known
-    few = labelled.select("doc_id", "lang").join(known, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") <= 2.0 * each)
+    few = labelled.select("doc_id", "lang").join(F.broadcast(known), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") <= 2.0 * each)
     ids = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     # At most SAMPLE_DOCS ids (or 20 for each language) are broadcast.
     chosen = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
@@ -189,7 +190,8 @@ def identify(docs: DataFrame, coder: Coder | None, text: str = "text") -> DataFr
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64()), pa.array(np.concatenate(nears))], ["lang_pred", "score", "ambiguous"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.select(*kept, of(F.col(text)).alias("_found")).select(*kept, "_found.*")
+    found = docs.select(F.struct("*").alias("row"), of(F.col(text)).alias("found"))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], "found.*")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,20 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
-    _AT[id(out)] = (out, at)
+    out.stored_at = at
     return out
 
 
-#: Folders of what ``stored`` gave, for ``removed``.
-_AT: dict[int, tuple[DataFrame, str]] = {}
-
-
 def removed(*frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote for frames that nothing will read again."""
     for df in frames:
-        known = _AT.pop(id(df), None)
-        if known:
-            delete(df.sparkSession, known[1])
+        if at := getattr(df, "stored_at", None):
+            delete(df.sparkSession, at)
 
 
 def delete(spark: SparkSession, at: str) -> None:

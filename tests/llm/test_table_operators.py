@@ -92,17 +92,6 @@ def test_lines_of_two_documents(spark):
     assert kept == {i: (0, t) for i, t in enumerate(texts)} | {2: (1, "second own text"), 3: (1, "any")}
 
 
-def test_lines_drop_what_their_sql_drops(spark, sf_dir):
-    """The SQL's templates need three documents, so that the operator may drop more, never less."""
-    from oracle import connect
-
-    from bucketscope.llm import queries
-
-    mine = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.QUERIES["op4_lines"](spark, sf_dir).collect()}
-    sql = {r[0]: r[1:3] for r in connect(sf_dir).execute(queries.ORACLES["op4_lines"]).fetchall()}
-    assert mine.keys() == sql.keys() and all(n == sql[i][0] and k >= sql[i][1] for i, (n, k) in mine.items())
-
-
 def test_lines_of_digits(spark):
     log = lambda i: f"2024-01-0{i} 10:1{i}:12 user {i} logged in from 10.0.0.{i}"
     texts = [f"{'abcd'[i]} own text of it\n{log(i)}\n1 2 3 4 {i}\n1 2 3 4 5" for i in range(4)]
@@ -148,6 +137,40 @@ def test_repeated_questions(spark):
     assert got[5, 8].n_slots == 2 and got[1, 7].n_windows == got[1, 7].item_windows
 
 
+def test_lines_of_many_kinds_in_one_text(spark):
+    """Work grows with the lines of a text: tens of thousands that all recur."""
+    import time
+
+    text = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} is one of many" for i in range(17_000))
+    docs = spark.createDataFrame([(i, f"own{i}\n{text}\nx\nx") for i in range(3)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in lines.without_repeats(docs).collect()}
+    assert time.time() - began < 90
+    assert got[1].text == "own1\nx\nx" and got[1].n_dropped == 17_000 and got[0].n_dropped == 0
+
+
+def test_stages_decide_by_row(spark, none):
+    """Null ids, repeated rows, rows of one id with different texts, empty texts, empty tables, columns of clashing names."""
+    import corpus_pipeline
+
+    base = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old tree near the quiet river today"
+    other = "a plain text of its own that has no likeness with any of the others and stands alone in this small table of documents"
+    rows = [(None, base), (None, base), (None, other), (3, base + " again"), (3, base + " again"), (3, other + " x"), (4, ""), (4, ""), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "keep", 7) for i, t in rows], "doc_id long, text string, lang string, row string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()), key=repr)
+    assert kept == sorted([(3, base + " again"), (3, other + " x"), (4, ""), (4, ""), (5, None), (None, "")], key=repr)
+    only = spark.createDataFrame([(None, base), (None, base + " end"), (None, other)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, only, None).count() == 2
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates, corpus_pipeline.encode):
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("length(text) > 60").first().text
+    leaky = spark.createDataFrame([(None, item, "k"), (None, other, "k"), (1, item, "k"), (1, other, "k"), (2, None, "k"), (2, "", "k")], "doc_id long, text string, key string")
+    left = [(r.doc_id, r.text, r.key) for r in corpus_pipeline.decontaminate(spark, leaky, "/root/testdata/sf0.001").collect()]
+    assert sorted(left, key=repr) == sorted([(None, other, "k"), (1, other, "k"), (2, None, "k"), (2, "", "k")], key=repr)
+    found = corpus_pipeline.line_dedup(spark, docs, None)
+    assert found.columns == docs.columns and all(r.row == "keep" for r in found.collect())
+
+
 def test_pipeline_against_stages(spark, sf_dir, docs):
     import corpus_pipeline
 
