@@ -60,7 +60,7 @@ def queue(heal: DataFrame, most: int) -> DataFrame:
 
 def priority(heal: DataFrame, most: int, n: int = 25) -> DataFrame:
     rows = heal.withColumn("s", F.expr(queue_status(most))).withColumn("prio", F.expr("case s when 'Failed' then 3 when 'RetryScheduled' then 2 else 1 end"))
-    return rows.orderBy(F.desc("prio"), F.expr("coalesce(next_day, 0)"), "queued_at", "object_no").limit(n).select("object_no", F.col("s").alias("state"), "prio", "attempts")
+    return rows.orderBy(F.desc("prio"), F.expr("coalesce(timestamp_ntz'1998-01-01' + make_dt_interval(next_day), queued_at)"), "queued_at", "object_no").limit(n).select("object_no", F.col("s").alias("state"), "prio", "attempts")
 
 
 def backoff() -> str:

@@ -87,9 +87,12 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namespace.current(_versions(spark, sf_dir))
 
 
-@query("storage_metrics_a01", f"{_VERSIONS} SELECT count(DISTINCT bucket) AS buckets, count(*) AS objects, CAST(sum(content_length) AS BIGINT) AS total_bytes FROM cur")
+@query("storage_metrics_a01", f"{_VERSIONS} SELECT (SELECT count(DISTINCT bucket) FROM object_versions) AS buckets, count(*) AS objects, CAST(coalesce(sum(content_length), 0) AS BIGINT) AS total_bytes FROM cur")
 def _storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.usage(namespace.current(_versions(spark, sf_dir))).agg(F.count(F.lit(1)).alias("buckets"), F.sum("object_count").alias("objects"), F.sum("total_bytes").alias("total_bytes"))
+    """Buckets count whether they have current objects or not."""
+    rows = _versions(spark, sf_dir)
+    used = metrics.bucket_usage(rows.select("bucket").distinct(), namespace.current(rows))
+    return used.agg(F.count(F.lit(1)).alias("buckets"), F.sum("object_count").alias("objects"), F.sum("total_bytes").alias("total_bytes"))
 
 
 @query("bucket_usage_a02_j01_p04", f"{_VERSIONS}, b AS (SELECT DISTINCT bucket FROM object_versions UNION SELECT 'empty') SELECT b.bucket, count(cur.key) AS object_count, CAST(coalesce(sum(content_length), 0) AS BIGINT) AS total_bytes FROM b LEFT JOIN cur USING (bucket) GROUP BY 1")
@@ -143,7 +146,7 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namespace.replayed(entity(spark, sf_dir, "mutations"), "seq")
 
 
-@query("prefix_scan_s07_s11", f"{sql('mutations').rstrip()}, {_STATE} SELECT * FROM st WHERE starts_with(key, 'k:000') AND key > 'k:00020' ORDER BY key LIMIT 20")
+@query("prefix_scan_s07", f"{sql('mutations').rstrip()}, {_STATE} SELECT * FROM st WHERE starts_with(key, 'k:000') AND key > 'k:00020' ORDER BY key LIMIT 20")
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namespace.scanned(_replay(spark, sf_dir), "k:000", "k:00020", 20)
 
@@ -181,7 +184,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ON = "disk_status = 'Online' AND node_status = 'Online'"
-_CAP = lambda keys: f"SELECT {keys}CAST(sum(t) AS BIGINT) AS total_bytes, CAST(sum(a) AS BIGINT) AS available_bytes FROM (SELECT {keys}node_id, capacity_group, min(total_bytes) AS t, min(available_bytes) AS a FROM disks WHERE {_ON} GROUP BY ALL)"
+_CAP = lambda keys: f"SELECT {keys}CAST(sum(t) AS BIGINT) AS total_bytes, CAST(sum(a) AS BIGINT) AS available_bytes FROM (SELECT {keys}node_id, coalesce('g' || CAST(capacity_group AS VARCHAR), 'd' || CAST(disk_id AS VARCHAR)) AS own, min(total_bytes) AS t, min(available_bytes) AS a FROM disks WHERE {_ON} GROUP BY ALL)"
 
 
 def _disks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,14 +219,30 @@ def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.fault_domains(_disks(spark, sf_dir), LEAST, PERCENT, 3)
 
 
+#: Bytes and percent that must stay free after a write.
+ROOM = f"available_bytes - content_length >= greatest({LEAST}, CAST(ceil(total_bytes * {PERCENT} / 100.0) AS BIGINT)) AND available_bytes >= content_length"
+CANDIDATES = f"""c AS (SELECT bucket, key, version_id, disk_id, node_id, pool_id, coalesce(nullif(trim(fault_domain), ''), node_id) AS fault_domain FROM object_versions, disks WHERE {_ON} AND {ROOM}),
+  e AS (SELECT bucket, key, version_id, pool_id FROM c GROUP BY ALL HAVING count(*) >= {COPIES} AND count(DISTINCT fault_domain) >= 2),
+  w AS (SELECT version_id, arg_min(pool_id, substr(sha256(concat('{SEED}|', bucket, '|', key, '|', version_id, '|', pool_id, '|pool')), 1, 16)) AS pool_id FROM e GROUP BY 1)"""
+PLACED = f"""{CANDIDATES},
+  s AS (SELECT c.*, substr(sha256(concat('{SEED}|', bucket, '|', key, '|', version_id, '||', fault_domain, '|', node_id, '|', CAST(disk_id AS VARCHAR))), 1, 16) AS score FROM c JOIN w USING (version_id, pool_id)),
+  t AS (SELECT *, row_number() OVER (PARTITION BY version_id, fault_domain ORDER BY score, node_id, disk_id) AS d, row_number() OVER (PARTITION BY version_id, node_id ORDER BY score, node_id, disk_id) AS n FROM s),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY version_id ORDER BY CASE WHEN d = 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END, score, node_id, disk_id) AS INTEGER) AS replica FROM t)"""
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.placed(_versions(spark, sf_dir), _disks(spark, sf_dir), SEED, COPIES, 2, LEAST, PERCENT)
+
+
 @query(
-    "placement_w04_w06_j15",
-    f"{sql('object_versions', 'disks').rstrip()}, s AS (SELECT bucket, key, version_id, disk_id, node_id, fault_domain, substr(sha256(concat_ws('|', '{SEED}', bucket, key, version_id, fault_domain, node_id, CAST(disk_id AS STRING))), 1, 16) AS score FROM (SELECT * FROM object_versions WHERE bucket = 'b5' AND starts_with(key, 'y=1996/m=05/')) o, (SELECT * FROM disks WHERE {_ON}) d), "
-    "t AS (SELECT *, row_number() OVER (PARTITION BY version_id, fault_domain ORDER BY score, disk_id) AS d, row_number() OVER (PARTITION BY version_id, node_id ORDER BY score, disk_id) AS n FROM s), "
-    f"r AS (SELECT *, CAST(row_number() OVER (PARTITION BY version_id ORDER BY CASE WHEN d = 1 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END, score, disk_id) AS INTEGER) AS replica FROM t) SELECT bucket, key, version_id, replica, disk_id, node_id, fault_domain, score FROM r WHERE replica <= {COPIES}",
+    "placement_w04_w06_j15_p25",
+    f"""{sql('object_versions', 'disks').rstrip()}, {PLACED}
+  SELECT o.bucket, o.key, o.version_id, r.replica, r.pool_id, r.disk_id, r.node_id, r.fault_domain, r.score
+  FROM object_versions o LEFT JOIN (SELECT * FROM r WHERE replica <= {COPIES}) r USING (version_id)""",
 )
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.placed(_versions(spark, sf_dir), _disks(spark, sf_dir), SEED, COPIES)
+    """Every object of every bucket; those that no pool has room for come without a replica."""
+    return placed(spark, sf_dir)
 
 
 _FLAGS = "pt AS (SELECT object_no, part_no, count(*) AS shards, count(*) FILTER (status = 'available') AS ok FROM shards GROUP BY ALL), fl AS (SELECT object_no, count(*) AS parts, bool_or(ok < 1) AS unrecoverable, bool_or(ok < 2) AS under_replicated, bool_or(ok < shards) AS degraded FROM pt GROUP BY 1)"
@@ -238,12 +257,12 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.object_health(_shards(spark, sf_dir), 1, 2)
 
 
-@query("object_health_a09_a25", f"{sql('shards').rstrip()}, {_FLAGS} SELECT count(*) AS objects, count(*) FILTER (degraded) AS degraded, count(*) FILTER (unrecoverable) AS unrecoverable, count(*) FILTER (under_replicated) AS under_replicated, count(*) FILTER (degraded AND NOT unrecoverable) AS recoverable_degraded FROM fl")
+@query("object_health_a09", f"{sql('shards').rstrip()}, {_FLAGS} SELECT count(*) AS objects, count(*) FILTER (degraded) AS degraded, count(*) FILTER (unrecoverable) AS unrecoverable, count(*) FILTER (under_replicated) AS under_replicated, count(*) FILTER (degraded AND NOT unrecoverable) AS recoverable_degraded FROM fl")
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.health(_shards(spark, sf_dir), 1, 2)
 
 
-@query("scrub_a18_p26", f"{sql('shards')} SELECT count(*) FILTER (status <> 'missing') AS checked, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'corrupt') AS corrupt, count(*) FILTER (status <> 'available') AS queued FROM shards")
+@query("scrub_a18", f"{sql('shards')} SELECT count(*) FILTER (status <> 'missing') AS checked, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'corrupt') AS corrupt, count(*) FILTER (status <> 'available') AS queued FROM shards")
 def _scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.scrub(_shards(spark, sf_dir))
 
@@ -270,12 +289,12 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.queue(_heal(spark, sf_dir), 5)
 
 
-@query("repair_priority_w08", f"{sql('heal_queue')} SELECT object_no, s AS state, CASE s WHEN 'Failed' THEN 3 WHEN 'RetryScheduled' THEN 2 ELSE 1 END AS prio, attempts FROM (SELECT *, {_QS} AS s FROM heal_queue) ORDER BY prio DESC, coalesce(next_day, 0), queued_at, object_no LIMIT 25")
+@query("repair_priority_w08", f"{sql('heal_queue')} SELECT object_no, s AS state, CASE s WHEN 'Failed' THEN 3 WHEN 'RetryScheduled' THEN 2 ELSE 1 END AS prio, attempts FROM (SELECT *, {_QS} AS s FROM heal_queue) ORDER BY prio DESC, coalesce(TIMESTAMP '1998-01-01' + to_days(next_day), queued_at), queued_at, object_no LIMIT 25")
 def _priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.priority(_heal(spark, sf_dir), 5)
 
 
-@query("retry_backoff_f16_t07_m16", f"{sql('heal_queue')} SELECT object_no, attempts, CAST({integrity.backoff()} AS INTEGER) AS wait_s FROM heal_queue WHERE attempts > 0 AND coalesce(next_day, 0) <= 30")
+@query("retry_backoff_f16_t07", f"{sql('heal_queue')} SELECT object_no, attempts, CAST({integrity.backoff()} AS INTEGER) AS wait_s FROM heal_queue WHERE attempts > 0 AND coalesce(next_day, 0) <= 30")
 def _backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heal(spark, sf_dir).filter("attempts > 0 and coalesce(next_day, 0) <= 30").select("object_no", "attempts", F.expr(integrity.backoff()).cast("int").alias("wait_s"))
 
@@ -309,7 +328,7 @@ def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multipart.offsets(multipart.sliced(_parts(spark, sf_dir), 1000))
 
 
-@query("part_checks_w10_w11_j08", f"{sql('shards').rstrip()}, p AS (SELECT object_no AS key, set_index AS pos, CASE WHEN object_no % 17 = 0 THEN 8 - set_index ELSE set_index END AS part_no, size FROM shards), q AS (SELECT *, coalesce(part_no > lag(part_no) OVER w, true) AS ok, row_number() OVER w = count(*) OVER (PARTITION BY key) AS last FROM p WINDOW w AS (PARTITION BY key ORDER BY pos, part_no, size)) SELECT key, bool_and(ok) AS in_order, bool_and(last OR size >= 5) AS large_enough, count(*) AS parts FROM q GROUP BY key")
+@query("part_checks_w10_w11", f"{sql('shards').rstrip()}, p AS (SELECT object_no AS key, set_index AS pos, CASE WHEN object_no % 17 = 0 THEN 8 - set_index ELSE set_index END AS part_no, size FROM shards), q AS (SELECT *, coalesce(part_no > lag(part_no) OVER w, true) AS ok, row_number() OVER w = count(*) OVER (PARTITION BY key) AS last FROM p WINDOW w AS (PARTITION BY key ORDER BY pos, part_no, size)) SELECT key, bool_and(ok) AS in_order, bool_and(last OR size >= 5) AS large_enough, count(*) AS parts FROM q GROUP BY key")
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _shards(spark, sf_dir).select(F.col("object_no").alias("key"), F.col("set_index").alias("pos"), F.expr("case when object_no % 17 = 0 then 8 - set_index else set_index end").alias("part_no"), "size")
     return multipart.checked(rows, 5)
@@ -325,7 +344,7 @@ def _checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("doc_id", "key", F.md5("text").alias("etag"), F.sha2("text", 256).alias("sha256"), F.left(F.sha2("key", 256), F.lit(8)).alias("key_hash"), F.octet_length("text").cast("long").alias("content_length"))
 
 
-@query("audit_tail_l11_m21", f"{sql('audit_log')} SELECT * FROM audit_log ORDER BY id DESC LIMIT 100")
+@query("audit_tail_l11", f"{sql('audit_log')} SELECT * FROM audit_log ORDER BY id DESC LIMIT 100")
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity(spark, sf_dir, "audit_log").orderBy(F.desc("id")).limit(100)
 
@@ -341,7 +360,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.byte_range(_parts(spark, sf_dir).select("doc_id", "size", F.expr(_RANGES).alias("header")), "header", "size")
 
 
-@query("url_address_p21_p22", f"{sql('urls').rstrip()}, p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS p FROM urls) SELECT page_id, url, host, split_part(p, '/', 1) AS bucket, CASE WHEN instr(p, '/') > 0 THEN substr(p, instr(p, '/') + 1) ELSE '' END AS key FROM p")
+@query("url_address_p21", f"{sql('urls').rstrip()}, p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS p FROM urls) SELECT page_id, url, host, split_part(p, '/', 1) AS bucket, CASE WHEN instr(p, '/') > 0 THEN substr(p, instr(p, '/') + 1) ELSE '' END AS key FROM p")
 def _address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.address(entity(spark, sf_dir, "urls"))
 
@@ -354,21 +373,77 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("doc_id", name.alias("name")).withColumn("valid", policy.valid_bucket("name"))
 
 
-_POLICY = '{"Statement": [{"Effect": "Allow", "Action": ["s3:Get*", "s3:ListBucket"], "Resource": ["arn:aws:s3:::*"]}, {"Effect": "Deny", "Action": ["s3:*"], "Resource": ["arn:aws:s3:::b3/*"]}]}'
+#: bucket, policy. Scalars and arrays, one statement and several, principals by name, an unreadable policy.
+POLICIES = [
+    ("b1", '{"Statement": [{"Effect": "Allow", "Principal": "*", "Action": ["s3:Get*", "s3:ListBucket"], "Resource": "arn:aws:s3:::b1/*"}]}'),
+    ("b2", '{"Statement": [{"Effect": "allow", "Principal": {"AWS": ["u1", "u2"]}, "Action": "s3:*", "Resource": ["b2/*"]}, {"Effect": "Deny", "Principal": "*", "Action": "s3:DeleteObject", "Resource": "*"}]}'),
+    ("b3", '{"Statement": {"Effect": "Deny", "Principal": {"AWS": "u103"}, "Action": "s3:GetObject", "Resource": "*"}}'),
+    ("b4", '{"Statement": ['),
+    ("b5", '{"Statement": [{"Effect": "Allow", "Action": "s3:*", "Resource": "*"}]}'),
+    ("b6", '{"Statement": [{"Effect": "Maybe", "Principal": "*", "Action": "s3:*", "Resource": "*"}, {"Effect": "Allow", "Principal": "*", "Action": ["s3:Put*", 7], "Resource": ["arn:aws:s3:::b6/k1*"]}]}'),
+    ("b7", " "),
+]
+#: access key, its policy.
+KEY_POLICIES = [(f"u{i}", '{"Statement": [{"Effect": "Allow", "Action": ["s3:Get*", "s3:Put*"], "Resource": "*"}]}') for i in range(0, 200, 3)]
+_ACTION = "concat('s3:', CASE method WHEN 'GET' THEN 'GetObject' WHEN 'PUT' THEN 'PutObject' WHEN 'HEAD' THEN 'HeadObject' ELSE 'DeleteObject' END)"
+_ASKED = f"""SELECT event_id, nullif(bucket, '') AS bucket, CASE WHEN is_list THEN NULL ELSE concat('k', CAST(event_id % 30 AS STRING)) END AS key, CASE WHEN is_list THEN 's3:ListBucket' ELSE {_ACTION} END AS action,
+  concat('u', CAST(user_id AS STRING)) AS access_key, event_id % 5 <> 0 AS signed, event_id % 11 <> 0 AS valid, method = 'PUT' AS needs_key FROM request_log"""
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in rows) + ")"
+
+
+_LIST = lambda j: f"CASE json_type({j}) WHEN 'VARCHAR' THEN [{j} ->> '$'] WHEN 'ARRAY' THEN list_transform(list_filter(CAST({j} AS JSON[]), lambda e: json_type(e) = 'VARCHAR'), lambda e: e ->> '$') ELSE [] END"
+_LIKE = lambda v, p: f"{v} LIKE replace(replace(replace(replace({p}, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!'"
+
+
+def _decided(name: str, source: str, by: str, key_mode: bool) -> str:
+    """CTEs of the decisions of each request by the policies of one kind."""
+    return f"""{name}_st AS (SELECT k, x ->> '$.Effect' AS effect, {_LIST("x -> '$.Action'")} AS actions, {_LIST("x -> '$.Resource'")} AS resources,
+    CASE json_type(x, '$.Principal') WHEN 'VARCHAR' THEN [x ->> '$.Principal'] WHEN 'OBJECT' THEN {_LIST("x -> '$.Principal.AWS'")} ELSE [] END AS who, json_type(x, '$.Principal') IS NULL AS open
+    FROM (SELECT k, unnest(CASE json_type(j, '$.Statement') WHEN 'ARRAY' THEN CAST(json_extract(j, '$.Statement') AS JSON[]) WHEN 'OBJECT' THEN [json_extract(j, '$.Statement')] ELSE [] END) AS x
+          FROM (SELECT k, CAST(CASE WHEN json_valid(policy) THEN policy ELSE '{{}}' END AS JSON) AS j FROM {source}))),
+  {name}_bad AS (SELECT k FROM {source} WHERE trim(policy) <> '' AND NOT json_valid(policy)),
+  {name} AS (SELECT event_id, bool_or(lower(effect) = 'deny') AS deny, bool_or(lower(effect) = 'allow') AS allow FROM asked JOIN {name}_st ON k = {by}
+    WHERE len(list_filter(actions, lambda a: {_LIKE('action', 'a')})) > 0 AND (list_contains(who, '*') OR list_contains(who, principal) OR ({key_mode} AND open))
+      AND len(list_filter(resources, lambda r: len(list_filter(cands, lambda c: {_LIKE('c', 'r')})) > 0)) > 0 GROUP BY 1)"""
+
+
+def _asked_sql(principal: str) -> str:
+    return f"""asked AS (SELECT *, {principal} AS principal, CASE WHEN bucket IS NULL THEN ['arn:aws:s3:::*', '*'] WHEN key IS NULL THEN ['arn:aws:s3:::' || bucket, bucket] ELSE ['arn:aws:s3:::' || bucket || '/' || key, bucket || '/' || key] END AS cands FROM ({_ASKED})),
+  bp AS (SELECT * FROM {_values(POLICIES)} t(k, policy)), kp AS (SELECT * FROM {_values(KEY_POLICIES)} t(k, policy)), {_decided('bd', 'bp', 'bucket', False)}"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ASKED.replace("FROM request_log", "FROM {log}"), log=_log(spark, sf_dir))
 
 
 @query(
-    "policy_decisions_p10_p11_p13",
-    f"{sql('request_log')} SELECT event_id, action, resource, CASE WHEN bucket = 'b7' THEN 'Neutral' WHEN starts_with(resource, 'arn:aws:s3:::b3/') THEN 'Deny' WHEN starts_with(action, 's3:Get') THEN 'Allow' ELSE 'Neutral' END AS decision FROM (SELECT event_id, bucket, concat('s3:', CASE method WHEN 'GET' THEN 'GetObject' WHEN 'PUT' THEN 'PutObject' WHEN 'HEAD' THEN 'GetObjectHead' ELSE 'DeleteObject' END) AS action, concat('arn:aws:s3:::', bucket, '/u', CAST(user_id AS STRING)) AS resource FROM request_log)",
+    "policy_decisions_p10_p11_p12_p13_p14",
+    f"""{sql('request_log').rstrip()}, {_asked_sql('access_key')}
+  SELECT a.event_id, a.bucket, a.key, a.action, a.principal, CASE WHEN a.bucket IN (SELECT k FROM bd_bad) OR deny THEN 'Deny' WHEN allow THEN 'Allow' ELSE 'Neutral' END AS decision
+  FROM asked a LEFT JOIN bd USING (event_id)""",
 )
 def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.expr("concat('s3:', case method when 'GET' then 'GetObject' when 'PUT' then 'PutObject' when 'HEAD' then 'GetObjectHead' else 'DeleteObject' end)")
-    asked = _log(spark, sf_dir).select("event_id", "bucket", action.alias("action"), F.expr("concat('arn:aws:s3:::', bucket, '/u', cast(user_id as string))").alias("resource"))
-    policies = asked.select("bucket").distinct().filter("bucket <> 'b7'").withColumn("policy_json", F.lit(_POLICY))
-    return policy.decide(asked, policies).drop("bucket")
+    asked = _asked(spark, sf_dir).select("event_id", "bucket", "key", "action", F.col("access_key").alias("principal"))
+    return policy.decide(asked, spark.createDataFrame(POLICIES, "bucket string, policy_json string"))
+
+
+@query(
+    "authorization_p15",
+    f"""{sql('request_log').rstrip()}, {_asked_sql("CASE WHEN signed AND valid THEN access_key END")}, {_decided('kd', 'kp', 'principal', True)}
+  SELECT event_id, CASE WHEN signed AND NOT valid THEN 'bad signature' WHEN kp.k IS NOT NULL AND (coalesce(kd.deny, false) OR NOT coalesce(kd.allow, false)) THEN 'denied by key policy'
+    WHEN bucket IS NULL THEN CASE WHEN signed AND valid THEN 'ok' ELSE 'key required' END WHEN bucket IN (SELECT k FROM bd_bad) OR coalesce(bd.deny, false) THEN 'denied by bucket policy'
+    WHEN NOT (signed AND valid) AND (needs_key OR NOT coalesce(bd.allow, false)) THEN 'key required' ELSE 'ok' END AS outcome
+  FROM asked LEFT JOIN bd USING (event_id) LEFT JOIN kd USING (event_id) LEFT JOIN kp ON kp.k = principal""",
+)
+def _authorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policies, keys = spark.createDataFrame(POLICIES, "bucket string, policy_json string"), spark.createDataFrame(KEY_POLICIES, "access_key string, key_policy string")
+    return policy.authorize(_asked(spark, sf_dir), policies, keys).select("event_id", "outcome")
 
 
-@query("scalar_text_f01_f02_f05_f06_f08", f"{sql('object_versions')} SELECT version_id, lower(trim(concat(' \"', upper(etag), '\" '), ' \"')) AS etag, lower(hex(encode(key))) AS key_hex, lpad(CAST(content_length AS STRING), 12, '0') AS padded, regexp_extract(key, '([^/]+)$', 1) AS file_name FROM object_versions")
+@query("scalar_text_f01_f02_f05_f06_f08", f"{sql('object_versions')} SELECT version_id, lower(trim(concat(' \"', upper(etag), '\" '), ' \"')) AS etag, lower(hex(encode(key))) AS key_hex, lpad(CAST(content_length AS STRING), 12, '0') AS padded, coalesce(nullif(regexp_extract(key, '([^/]+)/*$', 1), ''), key) AS file_name FROM object_versions")
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _versions(spark, sf_dir).withColumn("quoted", F.expr("concat(' \"', upper(etag), '\" ')"))
     return rows.select("version_id", scalar.etag("quoted").alias("etag"), scalar.hexed("key").alias("key_hex"), F.lpad(F.col("content_length").cast("string"), 12, "0").alias("padded"), scalar.file_name("key").alias("file_name"))
@@ -389,7 +464,7 @@ def _concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.withColumn("now", running).groupBy("bucket").agg(F.max("now").alias("peak"))
 
 
-@query("method_routing_t04_p20", f"{sql('request_log')} SELECT CASE WHEN bucket = '' THEN 'console' ELSE 's3' END AS profile, is_list, method, count(*) AS requests FROM request_log GROUP BY ALL")
+@query("method_routing_t04", f"{sql('request_log')} SELECT CASE WHEN bucket = '' THEN 'console' ELSE 's3' END AS profile, is_list, method, count(*) AS requests FROM request_log GROUP BY ALL")
 def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).groupBy(F.expr("case when bucket = '' then 'console' else 's3' end").alias("profile"), "is_list", "method").agg(F.count(F.lit(1)).alias("requests"))
 
@@ -419,4 +494,4 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", erasure.signature(F.concat(F.lit("key-"), F.col("user_id").cast("string")), F.col("day"), F.lit("local"), F.concat_ws("\n", "method", "bucket")).alias("signature"))
 
 
-from bucketscope.plans import more  # noqa: E402, F401  (registers its queries)
+from bucketscope.plans import more, store  # noqa: E402, F401  (they register their queries)

@@ -46,6 +46,34 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "modified_at": "l_shipdate",
         },
     ),
+    "uploads": (
+        "orders",
+        {
+            "upload_id": "lpad(CAST(o_orderkey AS STRING), 12, '0')",
+            "bucket": "concat('b', CAST(o_custkey % 8 AS STRING))",
+            "key": "concat('y=', CAST(year(o_orderdate) AS STRING), '/m=', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/c=', CAST(o_custkey % 50 AS STRING))",
+            "initiated_at": "o_orderdate",
+        },
+    ),
+    "upload_parts": (
+        "lineitem",
+        {
+            "upload_id": "lpad(CAST(l_orderkey AS STRING), 12, '0')",
+            "part_number": "CAST(l_linenumber AS INT)",
+            "size": "CAST(l_quantity * 400000 AS BIGINT)",
+            "etag": "md5(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)))",
+        },
+    ),
+    "asked_parts": (
+        "lineitem",
+        {
+            "upload_id": "lpad(CAST(l_orderkey AS STRING), 12, '0')",
+            "pos": "CAST(CASE WHEN l_orderkey % 23 = 0 THEN 100 - l_linenumber ELSE l_linenumber END AS INT)",
+            "part_number": "CAST(CASE WHEN l_orderkey % 19 = 0 AND l_linenumber = 2 THEN 90 ELSE l_linenumber END AS INT)",
+            "etag": "concat('\"', upper(md5(concat(CAST(l_orderkey AS STRING), '-', CAST(CASE WHEN l_orderkey % 17 = 0 AND l_linenumber = 1 THEN 0 ELSE l_linenumber END AS STRING)))), '\"')",
+            "leave_out": "l_orderkey % 5 = 0 AND l_linenumber = 1",
+        },
+    ),
     "disks": (
         "supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
         {
@@ -92,7 +120,7 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "actor": "role",
             "action": "CASE WHEN turn % 2 = 0 THEN 'ask' ELSE 'answer' END",
             "resource": "concat('conv/', CAST(conv_id AS STRING))",
-            "message": "substr(text, 1, 40)",
+            "message": "text",
         },
     ),
     "urls": ("pages", {"page_id": "page_id", "url": "url"}),

@@ -14,7 +14,7 @@ from bucketscope.operators.metrics import counters
 LIMITED = "user_id long, requests long, allowed long, rejected long"
 
 
-def hourly_stream(log: DataFrame, late: str = "2 hours") -> DataFrame:
+def hourly_stream(log: DataFrame, late: str = "168 hours") -> DataFrame:
     """Hourly counters by bucket; requests later than the watermark are dropped."""
     rows = log.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).withWatermark("occurred_at", late)
     return rows.groupBy(F.window("occurred_at", "1 hour"), "bucket").agg(*counters()).withColumn("hour_utc", F.col("window.start")).drop("window")

@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import json
 
 from pyspark.sql import functions as F
 
@@ -10,17 +11,26 @@ from bucketscope.streaming import requests
 
 
 def test_prefix_paging(spark):
-    keys = spark.createDataFrame([(k, "v") for k in ("a:outside", "b:001", "b:002", "b:003", "c:outside")], "key string, value string")
-    first = [r.key for r in namespace.scanned(keys, "b:", None, 2).collect()]
-    assert first == ["b:001", "b:002"]
-    assert [r.key for r in namespace.scanned(keys, "b:", first[-1], 2).collect()] == ["b:003"]
+    """Pages of three over names with letters of several bytes; the last one is empty."""
+    names = ["log/zürich/1", "log/zürich/10", "log/zürich/2", "log/øst/9", "log/a", "log", "lo", "m"]
+    keys = spark.createDataFrame([(k, "v") for k in names], "key string, value string")
+    pages, after = [], None
+    while True:
+        page = [r.key for r in namespace.scanned(keys, "log/", after, 3).collect()]
+        pages.append(page)
+        if not page:
+            break
+        after = page[-1]
+    assert pages == [["log/a", "log/zürich/1", "log/zürich/10"], ["log/zürich/2", "log/øst/9"], []]
 
 
 def test_delimiter_folding(spark):
-    names = [f"2026/01/file-{i:03}.txt" for i in range(40)] + ["2026/02/file.txt", "2026/root.txt"]
+    names = [f"in/box-{i % 7}/{i}" for i in range(50)] + ["in/box", "in/box-", "out/x", "in/"]
     rows = spark.createDataFrame([("b", k, 1) for k in names], "bucket string, key string, content_length long")
-    listed = namespace.page(namespace.entries(rows, "2026/", "/"), "", 10).orderBy("entry").collect()
-    assert [(r.entry, r.is_prefix, r.truncated) for r in listed] == [("2026/01/", True, False), ("2026/02/", True, False), ("2026/root.txt", False, False)]
+    listed = namespace.entries(rows, "in/", "/")
+    page = namespace.page(listed, "in/box-2/", 3).orderBy("entry").collect()
+    assert [(r.entry, r.is_prefix, r.truncated) for r in page] == [("in/box-3/", True, True), ("in/box-4/", True, True), ("in/box-5/", True, True)]
+    assert sorted(r.entry for r in listed.collect()) == sorted(["in/", "in/box", "in/box-"] + [f"in/box-{i}/" for i in range(7)])
 
 
 def test_versions(spark):
@@ -48,17 +58,48 @@ def test_part_order(spark):
 
 
 def test_policy(spark):
-    asked = spark.createDataFrame([(b, "s3:GetObject", f"arn:aws:s3:::{b}/k") for b in ("open", "both", "bad", "blank", "none")], "bucket string, action string, resource string")
-    allow = '{"Effect": "Allow", "Action": ["s3:Get*"], "Resource": ["*"]}'
-    policies = [("open", f'{{"Statement": [{allow}]}}'), ("both", f'{{"Statement": [{allow}, {allow.replace("Allow", "Deny")}]}}'), ("bad", "{"), ("blank", " ")]
-    got = {r.bucket: r.decision for r in policy.decide(asked, spark.createDataFrame(policies, "bucket string, policy_json string")).collect()}
-    assert got == {"open": "Allow", "both": "Deny", "bad": "Deny", "blank": "Neutral", "none": "Neutral"}
+    one = lambda **x: json.dumps({"Statement": x})
+    get = {"Effect": "Allow", "Principal": "*", "Action": "s3:Get*", "Resource": "*"}
+    deny = {"Effect": "Deny", "Principal": "*", "Action": "s3:GetObject", "Resource": "*"}
+    cases = {
+        "scalars": (one(**get), "Allow"),
+        "arrays": (json.dumps({"Statement": [get | {"Action": ["s3:Get*", 5], "Resource": ["x", "arn:aws:s3:::arrays/k"]}]}), "Allow"),
+        "deny by a scalar": (json.dumps({"Statement": [get, deny]}), "Deny"),
+        "deny first": (json.dumps({"Statement": [deny, get]}), "Deny"),
+        "deny for others": (json.dumps({"Statement": [get, deny | {"Principal": {"AWS": ["ben", "eve"]}}]}), "Allow"),
+        "deny for ann": (json.dumps({"Statement": [get, deny | {"Principal": {"AWS": "ann"}}]}), "Deny"),
+        "no principal": (one(Effect="Allow", Action="*", Resource="*"), "Neutral"),
+        "bare name": (one(**get | {"Resource": "bare name/*"}), "Allow"),
+        "bucket only": (one(**get | {"Resource": "arn:aws:s3:::bucket only"}), "Neutral"),
+        "other action": (one(**get | {"Action": "s3:Put*"}), "Neutral"),
+        "odd signs": (one(**get | {"Action": "s3:Get_bject%"}), "Neutral"),
+        "no effect": (one(Principal="*", Action="*", Resource="*"), "Neutral"),
+        "lower case": (one(**get | {"Effect": "allow"}), "Allow"),
+        "unreadable": ("{", "Deny"),
+        "blank": (" ", "Neutral"),
+        "no statement": ("{}", "Neutral"),
+        "none": (None, "Neutral"),
+    }
+    asked = spark.createDataFrame([(b, "k", "s3:GetObject", "ann") for b in cases], "bucket string, key string, action string, principal string")
+    policies = spark.createDataFrame([(b, p) for b, (p, _) in cases.items() if p is not None], "bucket string, policy_json string")
+    got = {r.bucket: r.decision for r in policy.decide(asked, policies).collect()}
+    assert got == {b: d for b, (_, d) in cases.items()}
+
+
+def test_authorization(spark):
+    allow = '{"Statement": {"Effect": "Allow", "Principal": "*", "Action": "*", "Resource": "*"}}'
+    policies = spark.createDataFrame([("open", allow), ("shut", allow.replace("Allow", "Deny"))], "bucket string, policy_json string")
+    keys = spark.createDataFrame([("reader", '{"Statement": {"Effect": "Allow", "Action": "s3:Get*", "Resource": "*"}}'), ("free", "")], "access_key string, key_policy string")
+    cases = [("open", "s3:GetObject", False, False, None, False, "ok"), ("open", "s3:PutObject", False, False, None, True, "key required"), ("plain", "s3:GetObject", False, False, None, False, "key required"), ("plain", "s3:GetObject", True, False, "free", False, "bad signature"), ("plain", "s3:GetObject", True, True, "free", False, "ok"), ("shut", "s3:GetObject", True, True, "free", False, "denied by bucket policy"), ("plain", "s3:PutObject", True, True, "reader", False, "denied by key policy"), ("plain", "s3:GetObject", True, True, "reader", False, "ok"), (None, "s3:ListAllMyBuckets", True, True, "free", True, "ok"), (None, "s3:ListAllMyBuckets", False, False, None, True, "key required")]
+    asked = spark.createDataFrame([(i, c[0], None if c[0] is None else "k", *c[1:6]) for i, c in enumerate(cases)], "i int, bucket string, key string, action string, signed boolean, valid boolean, access_key string, needs_key boolean")
+    got = {r.i: r.outcome for r in policy.authorize(asked, policies, keys).collect()}
+    assert got == {i: c[6] for i, c in enumerate(cases)}
 
 
 def test_ranges(spark):
-    rows = spark.createDataFrame([("bytes=0-3", 10), ("bytes=5-", 10), ("bytes=-4", 10), ("bytes=10-", 10), ("bytes=5-2", 10), ("none", 10), ("bytes=0-99", 10)], "h string, n long")
+    rows = spark.createDataFrame([("bytes=0-3", 10), ("bytes=5-", 10), ("bytes=-4", 10), ("bytes=10-", 10), ("bytes=5-2", 10), ("none", 10), ("bytes=0-99", 10), ("bytes=99999999999999999999-", 10)], "h string, n long")
     got = [(r.first_byte, r.last_byte) for r in policy.byte_range(rows, "h", "n").collect()]
-    assert got == [(0, 3), (5, 9), (6, 9), (None, None), (None, None), (None, None), (0, 9)]
+    assert got == [(0, 3), (5, 9), (6, 9), (None, None), (None, None), (None, None), (0, 9), (None, None)]
 
 
 def test_scalars(spark):
@@ -116,39 +157,90 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     assert spark.table("hours").count() == metrics.hourly_by_bucket(log).count()
 
 
-def best_disks(objects, disks, copies):
-    """Placement by brute force: {(version_id, replica): (disk_id, score)}."""
+def best_disks(objects, disks, copies, domains=0, least=0, percent=0):
+    """Placement by brute force: {version_id: list of (disk_id, score)}, None without a place. disks: (id, node, domain, pool, total, available)."""
+    digest = lambda *x: hashlib.sha256("|".join(("seed", *map(str, x))).encode()).hexdigest()[:16]
     out = {}
-    for bucket, key, version in objects:
-        ranked = sorted((hashlib.sha256("|".join(["seed", bucket, key, version, *[x for x in (domain, node) if x is not None], str(disk)]).encode()).hexdigest()[:16], disk, node, domain) for disk, node, domain in disks)
-        tiers, domains, nodes = [], set(), set()
-        for s, disk, node, domain in ranked:
-            tiers.append((0 if domain not in domains else 1 if node not in nodes else 2, s, disk))
-            domains.add(domain)
-            nodes.add(node)
-        out |= {(version, i + 1): (disk, s) for i, (_, s, disk) in enumerate(sorted(tiers)[:copies])}
+    for bucket, key, version, size in objects:
+        fit = [(d, n, (f or "").strip() or n, p) for d, n, f, p, t, a in disks if a - size >= max(0, least, -(-t * percent // 100))]
+        pools = [p for p in {x[3] for x in fit} if sum(x[3] == p for x in fit) >= copies and len({x[2] for x in fit if x[3] == p}) >= domains]
+        if not pools:
+            out[version] = None
+            continue
+        pool = min(pools, key=lambda p: (digest(bucket, key, version, p, "pool"), p))
+        ranked = sorted((digest(bucket, key, version, "", f, n, d), n, d, f) for d, n, f, p in fit if p == pool)
+        chosen = []
+        for rule in (lambda n, f: f not in {x[3] for x in chosen} and n not in {x[1] for x in chosen}, lambda n, f: n not in {x[1] for x in chosen}, lambda n, f: True):
+            for x in ranked:
+                if len(chosen) < copies and x not in chosen and rule(x[1], x[3]):
+                    chosen.append(x)
+        out[version] = [(x[2], x[0]) for x in chosen]
     return out
 
 
-def test_placement_tiers(spark):
-    objects = [("b", f"k{i}", f"v{i}") for i in range(20)]
-    disks = [(1, "n1", "f1"), (2, "n1", "f1"), (3, "n2", "f1"), (4, "n3", "f2"), (5, "n3", "f2")]
-    rows = spark.createDataFrame([(*d, "Online", "Online") for d in disks] + [(6, "n4", "f3", "Offline", "Online")], "disk_id long, node_id string, fault_domain string, disk_status string, node_status string")
-    for copies in (1, 2, 3, 4, 9):
-        got = cluster.placed(spark.createDataFrame(objects, "bucket string, key string, version_id string"), rows, "seed", copies).collect()
-        assert {(r.version_id, r.replica): (r.disk_id, r.score) for r in got} == best_disks(objects, disks, copies) and len(got) == 20 * min(copies, 5)
+def placements(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r.replica or 0):
+        out.setdefault(r.version_id, None if r.replica is None else []) if r.replica is None else out.setdefault(r.version_id, []).append((r.disk_id, r.score))
+    return out
 
 
-def test_placement_covers_every_object(spark, sf_dir):
-    from oracle import connect, same
+def test_placement_passes_pools_and_refusals(spark):
+    objects = [("b", f"k{i}", f"v{i}", 10 * i) for i in range(20)]
+    disks = [(1, "n1", "f1", "p1", 200, 100), (2, "n1", "f1", "p1", 200, 150), (3, "n2", "f1", "p1", 200, 190), (4, "n3", "f2", "p1", 200, 200), (5, "n3", "f2", "p1", 200, 90), (6, "n4", " ", "p2", 300, 200), (7, "n5", None, "p2", 300, 250), (8, "n5", None, "p2", 300, 120)]
+    schema = "disk_id long, node_id string, fault_domain string, pool_id string, total_bytes long, available_bytes long, disk_status string, node_status string"
+    rows = spark.createDataFrame([(*d, "Online", "Online") for d in disks] + [(9, "n9", "f9", "p1", 900, 900, "Offline", "Online")], schema)
+    asked = spark.createDataFrame(objects, "bucket string, key string, version_id string, content_length long")
+    for copies, domains, least, percent in ((1, 0, 0, 0), (2, 2, 10, 15), (3, 2, 0, 0), (5, 1, 0, 10), (9, 0, 0, 0)):
+        got = placements(cluster.placed(asked, rows, "seed", copies, domains, least, percent).collect())
+        assert got == best_disks(objects, disks, copies, domains, least, percent)
 
+
+def test_placement_covers_every_object(spark, sf_dir):
     from bucketscope.plans import catalog
     from bucketscope.sources.adapters import entity
 
-    name = "placement_w04_w06_j15"
-    rows = catalog.queries()[name](spark, sf_dir)
-    objects = [tuple(r) for r in entity(spark, sf_dir, "object_versions").select("bucket", "key", "version_id").collect()]
-    disks = [tuple(r) for r in entity(spark, sf_dir, "disks").filter(cluster.ONLINE).select("disk_id", "node_id", "fault_domain").collect()]
-    assert {(r.version_id, r.replica): (r.disk_id, r.score) for r in rows.collect()} == best_disks(objects, disks, 2)
-    # The query's SQL is of one bucket and month.
-    same(rows.filter("bucket = 'b5' and startswith(key, 'y=1996/m=05/')"), connect(sf_dir), catalog.oracle_sql()[name])
+    objects = [tuple(r) for r in entity(spark, sf_dir, "object_versions").select("bucket", "key", "version_id", "content_length").collect()]
+    disks = [tuple(r) for r in entity(spark, sf_dir, "disks").filter(cluster.ONLINE).select("disk_id", "node_id", "fault_domain", "pool_id", "total_bytes", "available_bytes").collect()]
+    got = placements(catalog.queries()["placement_w04_w06_j15_p25"](spark, sf_dir).collect())
+    assert got == best_disks(objects, disks, 2, 2, catalog.LEAST, catalog.PERCENT) and None in got.values()
+
+
+def test_completing_uploads(spark):
+    stored = [("u", 1, "aa", 9), ("u", 2, "bb", 9), ("u", 4, "cc", 1), ("v", 1, "aa", 1), ("v", 2, "bb", 9)]
+    asked = {
+        "u": [(1, '"AA"'), (2, "bb"), (4, "cc")],
+        "v": [(1, "aa"), (2, "bb")],
+        "w": [(1, "aa")],
+    }
+    rows = spark.createDataFrame(stored, "upload_id string, part_number int, etag string, size long")
+    requested = lambda a: spark.createDataFrame([(u, i, n, e) for u, ps in a.items() for i, (n, e) in enumerate(ps)], "upload_id string, pos int, part_number int, etag string")
+    got = {r.upload_id: r for r in multipart.completed(requested(asked), rows, 5).collect()}
+    assert {u: r.outcome for u, r in got.items()} == {"u": "ok", "v": "EntityTooSmall", "w": "InvalidPart"}
+    assert got["u"].etag == hashlib.md5(bytes.fromhex("aabbcc")).hexdigest() + "-3" and got["u"].content_length == 19 and got["v"].etag is None
+    for parts, outcome in (([(2, "bb"), (1, "aa")], "InvalidPartOrder"), ([(1, "aa"), (1, "aa")], "InvalidPartOrder"), ([(1, "aa"), (2, "xx")], "InvalidPart"), ([(2, "bb")], "ok"), ([(1, "aa"), (3, "cc"), (4, "cc")], "InvalidPart")):
+        done = multipart.completed(requested({"u": parts}), rows, 5)
+        assert done.first().outcome == outcome
+    left = multipart.left_over(requested({"u": [(2, "bb")]}), rows, multipart.completed(requested({"u": [(2, "bb")]}), rows, 5)).collect()
+    assert sorted(r.part_number for r in left) == [1, 4]
+    page = multipart.part_pages(rows.filter("upload_id = 'u'"), 1, 1).collect()
+    assert [(r.part_number, r.truncated, r.next_marker) for r in page] == [(2, True, 2)]
+
+
+def test_deleting_by_versioning(spark):
+    t = lambda i: dt.datetime(2024, 1, i)
+    rows = [("b", k, v, t(i), False) for k in ("by id", "by old id", "marked", "off", "unknown") for i, v in ((1, "v1"), (2, "v2"))]
+    versions = spark.createDataFrame(rows, "bucket string, key string, version_id string, last_modified timestamp_ntz, is_delete_marker boolean")
+    asked = [("by id", "v2", "Enabled"), ("by old id", "v1", "Off"), ("marked", None, "Enabled"), ("off", None, "Off"), ("unknown", "v9", "Enabled"), ("absent", None, "Off")]
+    requests = spark.createDataFrame([("b", k, v, s, "m-" + k) for k, v, s in asked], "bucket string, key string, version_id string, versioning string, marker_id string")
+    outcome, after = namespace.delete_objects(versions, requests, "2024-02-01 00:00:00")
+    got = {r.key: (r.version_id, r.is_delete_marker, r.found) for r in outcome.collect()}
+    assert got == {"by id": ("v2", False, True), "by old id": ("v1", False, True), "marked": ("m-marked", True, True), "off": (None, False, True), "unknown": ("v9", False, False), "absent": (None, False, False)}
+    left = {(r.key, r.version_id): r.is_current for r in after.collect()}
+    assert left == {("by id", "v1"): True, ("by old id", "v2"): True, ("marked", "v1"): False, ("marked", "v2"): False, ("marked", "m-marked"): True, ("off", "v1"): False, ("unknown", "v1"): False, ("unknown", "v2"): True}
+
+
+def test_copy_sources(spark):
+    heads = {"/b/a%2Fc%20d+e?versionId=v1": ("b", "a/c d+e", "v1"), "b/k": ("b", "k", None), "b": (None, None, None), "b/": (None, None, None), "/b/%zz": (None, None, None)}
+    got = {r.h: (r.source_bucket, r.source_key, r.source_version) for r in namespace.copy_source(spark.createDataFrame([(h,) for h in heads], "h string"), "h").collect()}
+    assert got == heads
