@@ -27,10 +27,10 @@ def _parts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLDED = lambda rows, prefix, delimiter, order, most: f"""fe AS (SELECT *, CASE WHEN contains(substr(key, {len(prefix) + 1}), '{delimiter}') THEN '{prefix}' || split_part(substr(key, {len(prefix) + 1}), '{delimiter}', 1) || '{delimiter}' ELSE key END AS entry,
     contains(substr(key, {len(prefix) + 1}), '{delimiter}') AS is_prefix FROM {rows} WHERE starts_with(key, '{prefix}')),
   fg AS (SELECT entry, is_prefix, key, {order}, row_number() OVER (PARTITION BY CASE WHEN is_prefix THEN entry ELSE key || chr(1) || CAST({order} AS VARCHAR) END ORDER BY key, {order}) AS k FROM fe),
-  fh AS (SELECT *, row_number() OVER (ORDER BY key, {order}) AS rn, count(*) OVER () > {most} AS truncated FROM fg WHERE k = 1),
-  fp AS (SELECT * FROM fh WHERE rn <= {most})
+  fh AS (SELECT *, row_number() OVER (ORDER BY key, {order}) AS place, count(*) OVER () > {most} AS truncated FROM fg WHERE k = 1),
+  fp AS (SELECT * FROM fh WHERE place <= {most})
   SELECT entry, is_prefix, key, {order}, truncated, CASE WHEN truncated THEN last_value(key) OVER w END AS next_key, CASE WHEN truncated THEN last_value({order}) OVER w END AS next_{order}
-  FROM fp WINDOW w AS (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+  FROM fp WINDOW w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 
 
 @query("list_uploads_l08", f"{sql('uploads').rstrip()}, u AS (SELECT * FROM uploads WHERE bucket = 'b2' AND (key > 'y=1993/m=02/' OR (key = 'y=1993/m=02/' AND upload_id > ''))), {_FOLDED('u', 'y=199', '/c=', 'upload_id', 20)}")
