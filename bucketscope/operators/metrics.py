@@ -66,3 +66,22 @@ def with_usage(active: DataFrame, used: DataFrame, n: int = 5) -> DataFrame:
     largest = used.orderBy(F.desc("total_bytes"), "bucket").limit(n).select("bucket", F.lit(0).cast("long").alias("request_count"), "object_count", "total_bytes")
     none = active.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").drop("n")
     return rows.unionByName(largest.join(F.broadcast(none), how="inner"))
+
+
+def peak_overlap(log: DataFrame, seconds: int) -> DataFrame:
+    """bucket, peak: most requests at once, each lasting so many seconds.
+
+    Starts and ends are summed by hour first; only these sums are carried along a bucket, and the
+    requests are put in order within their hour, so that no task holds a bucket's whole log.
+    """
+    from pyspark.sql import Window
+
+    ends = F.col("t") + F.expr(f"make_dt_interval(0, 0, 0, {seconds})")
+    starts = log.select("bucket", F.col("occurred_at").alias("t"), F.lit(1).alias("n"), "event_id")
+    moves = starts.union(starts.select("bucket", ends, F.lit(-1), "event_id")).withColumn("slice", F.date_trunc("hour", "t"))
+    sums = moves.groupBy("bucket", "slice").agg(F.sum("n").alias("net"))
+    earlier = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("bucket", "slice", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("bucket", "slice").orderBy("t", "n", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    highest = moves.withColumn("now", F.sum("n").over(within)).groupBy("bucket", "slice").agg(F.max("now").alias("most"))
+    return highest.join(carried, ["bucket", "slice"]).groupBy("bucket").agg(F.max(F.col("before") + F.col("most")).alias("peak"))

@@ -456,12 +456,7 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upload_concurrency_t05", f"{sql('request_log').rstrip()}, u AS (SELECT event_id, occurred_at AS s, occurred_at + INTERVAL 600 SECOND AS e, bucket FROM request_log WHERE method = 'PUT'), d AS (SELECT bucket, s AS t, 1 AS n, event_id FROM u UNION ALL SELECT bucket, e, -1, event_id FROM u), c AS (SELECT bucket, sum(n) OVER (PARTITION BY bucket ORDER BY t, n, event_id ROWS UNBOUNDED PRECEDING) AS now FROM d) SELECT bucket, CAST(max(now) AS BIGINT) AS peak FROM c GROUP BY 1")
 def _concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    up = _log(spark, sf_dir).filter("method = 'PUT'")
-    moves = up.select("bucket", F.col("occurred_at").alias("t"), F.lit(1).alias("n"), "event_id").union(up.select("bucket", F.expr("occurred_at + interval 600 seconds"), F.lit(-1), "event_id"))
-    running = F.sum("n").over(Window.partitionBy("bucket").orderBy("t", "n", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return moves.withColumn("now", running).groupBy("bucket").agg(F.max("now").alias("peak"))
+    return metrics.peak_overlap(_log(spark, sf_dir).filter("method = 'PUT'"), 600)
 
 
 @query("method_routing_t04", f"{sql('request_log')} SELECT CASE WHEN bucket = '' THEN 'console' ELSE 's3' END AS profile, is_list, method, count(*) AS requests FROM request_log GROUP BY ALL")
@@ -494,4 +489,4 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", erasure.signature(F.concat(F.lit("key-"), F.col("user_id").cast("string")), F.col("day"), F.lit("local"), F.concat_ws("\n", "method", "bucket")).alias("signature"))
 
 
-from bucketscope.plans import more, store  # noqa: E402, F401  (they register their queries)
+from bucketscope.plans import more, records, store  # noqa: E402, F401  (they register their queries)
