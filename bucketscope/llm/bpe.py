@@ -46,6 +46,7 @@ LEXICON_WORDS = 65_536
 #: Distinct raw words remembered by a task before it starts afresh.
 MEMORY_WORDS = 200_000
 _SLICE_CHARS = 1 << 20
+_CODE_BLOCK = 1 << 12
 _NONE = np.iinfo(np.int64).max
 
 # Fixed values of the vocabulary's format: how words are found in normalised text, and white space.
@@ -86,22 +87,22 @@ _BYTE_OF = {c: b for b, c in enumerate(byte_letters())}
 def odd_letters(splitter: str) -> str:
     """A pattern of the code points that Python's Unicode tables take otherwise than the vocabulary's do: class, lower case or composition; those that Python does not know yet are all among them."""
     rules = Tokenizer.from_str(splitter)
-    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
-    odd = {c for c, k in enumerate(kinds) if k == "Cn"}
-    known = [c for c, k in enumerate(kinds) if k not in ("Cn", "Co", "Cs")]  # private ones are alike everywhere
     space = regex.compile(f"[{_BLANK}]")
     differs = lambda text: rules.normalizer.normalize_str(text) != normalised(text)
-    odd |= {c for c in known if not space.match(chr(c)) and differs(chr(c))}
-    odd |= {c for c in known if unicodedata.combining(chr(c)) and any(differs(x) for m in "\u0334\u0315" for x in (f"a{chr(c)}{m}", f"a{m}{chr(c)}"))}  # the order of marks
-    for before in "a!":  # what a letter or a mark forms one word with
-        for i in range(0, len(known), 1 << 16):
-            part = known[i : i + (1 << 16)]
-            text = "".join(f"{before}{chr(c)} " for c in part)
-            theirs, mine = ({x for x in found} for found in ((span for _, span in rules.pre_tokenizer.pre_tokenize_str(text)), (m.span() for m in _WORD.finditer(text))))
-            odd |= {part[a // 3] for a, _ in theirs ^ mine}
-    starts = sorted(c for c in odd if c - 1 not in odd)
-    ends = sorted(c for c in odd if c + 1 not in odd)
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]"
+    is_odd = np.zeros(0x110000, np.int8)
+    for first in range(0, len(is_odd), _CODE_BLOCK):  # in blocks, so that the driver holds little at a time
+        kinds = {c: unicodedata.category(chr(c)) for c in range(first, first + _CODE_BLOCK)}
+        odd = {c for c, k in kinds.items() if k == "Cn"}
+        known = [c for c, k in kinds.items() if k not in ("Cn", "Co", "Cs")]  # private ones are alike everywhere
+        odd |= {c for c in known if not space.match(chr(c)) and differs(chr(c))}
+        odd |= {c for c in known if unicodedata.combining(chr(c)) and any(differs(x) for m in "\u0334\u0315" for x in (f"a{chr(c)}{m}", f"a{m}{chr(c)}"))}  # the order of marks
+        for before in "a!":  # what a letter or a mark forms one word with
+            text = "".join(f"{before}{chr(c)} " for c in known)
+            theirs, mine = {span for _, span in rules.pre_tokenizer.pre_tokenize_str(text)}, {m.span() for m in _WORD.finditer(text)}
+            odd |= {known[a // 3] for a, _ in theirs ^ mine}
+        is_odd[list(odd)] = 1
+    edges = np.flatnonzero(np.diff(is_odd, prepend=0, append=0)).tolist()
+    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]"
 
 
 class Vocabulary:
