@@ -489,4 +489,4 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", erasure.signature(F.concat(F.lit("key-"), F.col("user_id").cast("string")), F.col("day"), F.lit("local"), F.concat_ws("\n", "method", "bucket")).alias("signature"))
 
 
-from bucketscope.plans import more, records, store  # noqa: E402, F401  (they register their queries)
+from bucketscope.plans import admin, more, records, store  # noqa: E402, F401  (they register their queries)
