@@ -109,3 +109,33 @@ def alerts(snapshots: DataFrame) -> DataFrame:
     broken = F.sum(F.when(F.col("holds"), 0).otherwise(1)).over(Window.partitionBy("alert").orderBy("taken_at"))
     held = rows.withColumn("broken", broken).filter("holds").groupBy("alert", "severity", "minutes", "broken").agg(F.min("taken_at").alias("since"), F.max("taken_at").alias("until"))
     return held.filter(F.expr("until >= since + make_interval(0, 0, 0, 0, 0, minutes)")).select("alert", "severity", "since", "until")
+
+
+# Headers that a bucket may set, limits of its metadata.
+HEADERS = {"cache-control": "Cache-Control", "content-disposition": "Content-Disposition", "content-language": "Content-Language", "expires": "Expires"}
+MOST_ENTRIES, MOST_CHARS, MOST_NAME = 20, 1024, 64
+
+
+def bucket_settings(headers: str, metadata: str) -> Column:
+    """(outcome, headers, metadata): settings of a bucket made regular, or the first rule that they break.
+
+    Names are trimmed, headers in their usual form, metadata in lower case without the protocol's
+    prefix; blank values go; of names that become equal the last stays. Null maps are empty.
+    """
+    trimmed = lambda x: f"regexp_replace({x}, '^\\\\s+|\\\\s+$', '')"
+    entries = lambda m, name: f"filter(transform(map_entries(coalesce({m}, cast(map() as map<string, string>))), e -> struct({name} as k, {trimmed('e.value')} as v)), e -> true)"
+    usual = f"map({', '.join(repr(x) for p in HEADERS.items() for x in p)})"
+    head = entries(headers, f"try_element_at({usual}, lower({trimmed('e.key')}))")
+    meta = entries(metadata, f"lower(regexp_replace({trimmed('e.key')}, '^(?i)x-amz-meta-', ''))")
+    bad_value = f"length(e.v) > {MOST_CHARS} or e.v rlike '[\\\\r\\\\n]'"
+    date = "coalesce(try_to_timestamp(e.v), try_to_timestamp(regexp_replace(e.v, '^[A-Za-z]{3}, ', ''), \"dd MMM yyyy HH:mm:ss 'GMT'\")) is null"
+    # Later entries win: an entry stays if no later one has its name.
+    unique = lambda a: f"map_from_entries(filter({a}, (x, i) -> x.v <> '' and not exists(slice({a}, i + 2, size({a})), y -> y.v <> '' and y.k = x.k)))"
+    outcome = f"""case when exists({head}, e -> e.k is null) then 'unsupported header'
+      when exists({head}, e -> {bad_value}) then 'invalid header value'
+      when exists({head}, e -> e.k = 'Expires' and e.v <> '' and {date}) then 'invalid date'
+      when exists({meta}, e -> not e.k rlike '^[a-z0-9_.-]{{1,{MOST_NAME}}}$') then 'invalid metadata name'
+      when exists({meta}, e -> {bad_value}) then 'invalid metadata value'
+      when size({unique(meta)}) > {MOST_ENTRIES} then 'too many entries' else 'ok' end"""
+    ok = F.expr(outcome)
+    return F.struct(ok.alias("outcome"), F.when(ok == "ok", F.expr(unique(head))).alias("headers"), F.when(ok == "ok", F.expr(unique(meta))).alias("metadata"))

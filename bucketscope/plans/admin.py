@@ -103,3 +103,19 @@ _ISLANDS = " UNION ALL ".join(f"SELECT '{a}' AS alert, '{s}' AS severity, {m} AS
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fourteen rules over hourly snapshots."""
     return admin.alerts(spark.sql(_GAUGES, log=entity(spark, sf_dir, "request_log")).withColumn("taken_at", F.col("taken_at").cast("timestamp_ntz")))
+
+
+_CASE = "content_length % 7"
+
+
+@query(
+    "bucket_settings_p29",
+    f"""{sql('object_versions')} SELECT version_id, CASE {_CASE} WHEN 1 THEN 'unsupported header' WHEN 2 THEN 'invalid header value' WHEN 3 THEN 'invalid date' WHEN 4 THEN 'invalid metadata name' WHEN 5 THEN 'invalid metadata value' WHEN 6 THEN 'too many entries' ELSE 'ok' END AS outcome,
+  CASE WHEN {_CASE} = 0 THEN 'max-age=' || CAST(content_length AS VARCHAR) END AS cache_control, CASE WHEN {_CASE} = 0 THEN etag END AS owner, CASE WHEN {_CASE} = 0 THEN 1 END AS n FROM object_versions""",
+)
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One case for each rule."""
+    headers = f"case {_CASE} when 1 then map('Server', 'x') when 2 then map('expires', concat('a', char(10), 'b')) when 3 then map('Expires', 'soon') else map(' CACHE-control ', concat(' max-age=', content_length), 'Expires', if(content_length % 2 = 0, ' ', 'Tue, 06 May 2031 07:08:09 GMT')) end"
+    metadata = f"case {_CASE} when 4 then map('a b', 'x') when 5 then map('a', repeat('x', 1025)) when 6 then map_from_arrays(transform(sequence(1, 21), i -> concat('k', i)), transform(sequence(1, 21), i -> 'v')) else map('X-Amz-Meta-Owner', concat(etag, ' '), 'none', ' ') end"
+    rows = entity(spark, sf_dir, "object_versions").select("version_id", F.expr(headers).alias("h"), F.expr(metadata).alias("m")).select("version_id", admin.bucket_settings("h", "m").alias("s"))
+    return rows.select("version_id", "s.outcome", F.col("s.headers").getItem("Cache-Control").alias("cache_control"), F.col("s.metadata").getItem("owner").alias("owner"), F.size("s.metadata").alias("n")).withColumn("n", F.when(F.col("outcome") == "ok", F.col("n")))

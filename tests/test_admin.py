@@ -51,3 +51,27 @@ def test_alerts(spark):
     broken = quiet.withColumn("nodes_offline", F.expr("int(id in (2, 3, 4, 8, 9, 15))")).withColumn("capacity_available", F.expr("if(id >= 8, 10, 100)")).withColumn("repair_pending", F.expr("if(id = 10, null, 1)"))
     got = {(r.alert, (r.since - T).seconds // 60, (r.until - T).seconds // 60) for r in admin.alerts(broken).collect()}
     assert got == {("NodeOffline", 2, 4), ("CapacityLow", 8, 19)}
+
+
+def test_bucket_settings(spark):
+    many = {f"k{i}": "v" for i in range(20)}
+    cases = [
+        (None, None, "ok"),
+        ({"Expires": "2031-05-06T07:08:09Z", "content-language": " de "}, {"X-AMZ-meta-A": "1"}, "ok"),
+        ({"Expires": "never"}, {}, "invalid date"),
+        ({"x": "1"}, {}, "unsupported header"),
+        ({"Cache-Control": "a\r\nb"}, {}, "invalid header value"),
+        ({}, {"": "1"}, "invalid metadata name"),
+        ({}, {"n" * 65: "1"}, "invalid metadata name"),
+        ({}, {"n": "x" * 1025}, "invalid metadata value"),
+        ({}, many, "ok"),
+        ({}, {**many, "one-more": "v"}, "too many entries"),
+        ({}, {**many, "one-more": " "}, "ok"),
+    ]
+    rows = spark.createDataFrame([(i, h, m) for i, (h, m, _) in enumerate(cases)], "i int, h map<string,string>, m map<string,string>")
+    got = {r.i: r.s for r in rows.select("i", admin.bucket_settings("h", "m").alias("s")).collect()}
+    assert [got[i].outcome for i in range(len(cases))] == [c[2] for c in cases]
+    assert got[1].headers == {"Expires": "2031-05-06T07:08:09Z", "Content-Language": "de"} and got[1].metadata == {"a": "1"}
+    assert got[0].metadata == {} and got[2].headers is None
+    ordered = spark.range(1).selectExpr("map('x', '') as h", "map('X-AMZ-meta-A', '1', ' a ', '2', 'A', ' ') as m").withColumn("h", F.lit(None).cast("map<string,string>"))
+    assert ordered.select(admin.bucket_settings("h", "m").alias("s")).first().s.metadata == {"a": "2"}  # the last that isn't blank
