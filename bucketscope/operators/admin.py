@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bucketscope.functions.scalar import let
+
 # Names and order of task groups.
 TASK_GROUPS = ["cluster", "repair", "rebalance", "lifecycle", "replication"]
 # Profile, requests, seconds.
@@ -123,19 +125,19 @@ def bucket_settings(headers: str, metadata: str) -> Column:
     prefix; blank values go; of names that become equal the last stays. Null maps are empty.
     """
     trimmed = lambda x: f"regexp_replace({x}, '^\\\\s+|\\\\s+$', '')"
-    entries = lambda m, name: f"filter(transform(map_entries(coalesce({m}, cast(map() as map<string, string>))), e -> struct({name} as k, {trimmed('e.value')} as v)), e -> true)"
+    entries = lambda m, name: f"transform(map_entries(coalesce({m}, cast(map() as map<string, string>))), e -> struct({name} as k, {trimmed('e.value')} as v))"
     usual = f"map({', '.join(repr(x) for p in HEADERS.items() for x in p)})"
     head = entries(headers, f"try_element_at({usual}, lower({trimmed('e.key')}))")
     meta = entries(metadata, f"lower(regexp_replace({trimmed('e.key')}, '^(?i)x-amz-meta-', ''))")
     bad_value = f"length(e.v) > {MOST_CHARS} or e.v rlike '[\\\\r\\\\n]'"
     date = "coalesce(try_to_timestamp(e.v), try_to_timestamp(regexp_replace(e.v, '^[A-Za-z]{3}, ', ''), \"dd MMM yyyy HH:mm:ss 'GMT'\")) is null"
-    # Later entries win: an entry stays if no later one has its name.
-    unique = lambda a: f"map_from_entries(filter({a}, (x, i) -> x.v <> '' and not exists(slice({a}, i + 2, size({a})), y -> y.v <> '' and y.k = x.k)))"
-    outcome = f"""case when exists({head}, e -> e.k is null) then 'unsupported header'
-      when exists({head}, e -> {bad_value}) then 'invalid header value'
-      when exists({head}, e -> e.k = 'Expires' and e.v <> '' and {date}) then 'invalid date'
-      when exists({meta}, e -> not e.k rlike '^[a-z0-9_.-]{{1,{MOST_NAME}}}$') then 'invalid metadata name'
-      when exists({meta}, e -> {bad_value}) then 'invalid metadata value'
-      when size({unique(meta)}) > {MOST_ENTRIES} then 'too many entries' else 'ok' end"""
-    ok = F.expr(outcome)
-    return F.struct(ok.alias("outcome"), F.when(ok == "ok", F.expr(unique(head))).alias("headers"), F.when(ok == "ok", F.expr(unique(meta))).alias("metadata"))
+    # Later entries win: from the last to the first, each name's first entry stays.
+    last = lambda a: let("w", f"reverse(filter({a}, e -> e.v <> ''))", let("k", "transform(w, e -> e.k)", "map_from_entries(reverse(transform(array_distinct(k), n -> w[array_position(k, n) - 1])))"))
+    outcome = f"""case when exists(x.h, e -> e.k is null) then 'unsupported header'
+      when exists(x.h, e -> {bad_value}) then 'invalid header value'
+      when exists(x.h, e -> e.k = 'Expires' and e.v <> '' and {date}) then 'invalid date'
+      when exists(x.m, e -> not e.k rlike '^[a-z0-9_.-]{{1,{MOST_NAME}}}$') then 'invalid metadata name'
+      when exists(x.m, e -> {bad_value}) then 'invalid metadata value'
+      when size(array_distinct(transform(filter(x.m, e -> e.v <> ''), e -> e.k))) > {MOST_ENTRIES} then 'too many entries' else 'ok' end"""
+    kept = lambda a: f"if(o = 'ok', {last(a)}, null)"
+    return F.expr(let("x", f"struct({head} as h, {meta} as m)", let("o", outcome, f"struct(o as outcome, {kept('x.h')} as headers, {kept('x.m')} as metadata)")))

@@ -75,3 +75,10 @@ def test_bucket_settings(spark):
     assert got[0].metadata == {} and got[2].headers is None
     ordered = spark.range(1).selectExpr("map('x', '') as h", "map('X-AMZ-meta-A', '1', ' a ', '2', 'A', ' ') as m").withColumn("h", F.lit(None).cast("map<string,string>"))
     assert ordered.select(admin.bucket_settings("h", "m").alias("s")).first().s.metadata == {"a": "2"}  # the last that isn't blank
+
+
+def test_bucket_settings_reads_each_map_once(spark, sf_dir):
+    from bucketscope.plans import catalog
+
+    plan = catalog.queries()["bucket_settings_p29"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_entries(") == 2
