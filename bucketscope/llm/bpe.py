@@ -84,8 +84,8 @@ def byte_letters() -> list[str]:
 _BYTE_OF = {c: b for b, c in enumerate(byte_letters())}
 
 
-def odd_letters(splitter: str) -> str:
-    """A pattern of the code points that Python's Unicode tables take otherwise than the vocabulary's do: class, lower case or composition; those that Python does not know yet are all among them."""
+def odd_table(splitter: str) -> np.ndarray:
+    """For each code point 1 if Python's Unicode tables take it otherwise than the vocabulary's do: class, lower case or composition; those that Python does not know yet are all among them."""
     rules = Tokenizer.from_str(splitter)
     space = regex.compile(f"[{_BLANK}]")
     differs = lambda text: rules.normalizer.normalize_str(text) != normalised(text)
@@ -101,10 +101,25 @@ def odd_letters(splitter: str) -> str:
             theirs, mine = {span for _, span in rules.pre_tokenizer.pre_tokenize_str(text)}, {m.span() for m in _WORD.finditer(text)}
             odd |= {known[a // 3] for a, _ in theirs ^ mine}
         is_odd[list(odd)] = 1
+    return is_odd
+
+
+def odd_letters(is_odd: np.ndarray) -> str:
+    """A pattern of them. It is slow over long texts: ``odd_words`` looks letters up instead."""
     edges = np.flatnonzero(np.diff(is_odd, prepend=0, append=0)).tolist()
     return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]"
 
 
+def odd_words(raw: list[str], is_odd: np.ndarray) -> list[str]:
+    """The raw words with an odd letter; each letter is looked up once, ASCII ones only if any of them is odd."""
+    if not is_odd[:128].any():
+        raw = [w for w in raw if not w.isascii()]
+    points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hits = np.flatnonzero(is_odd[points])
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    return [raw[i] for i in np.unique(np.searchsorted(ends, hits, "right")).tolist()]
+
+
 class Vocabulary:
     """Token strings, merge ranks and special tokens, as flat arrays."""
 
@@ -123,7 +138,7 @@ class Vocabulary:
         spaced = [f" {t}".encode() for t in tokens]
         self.shown, self.shown_at, self.shown_len = _packed(spaced)
         self.digits, self.digits_at, self.digits_len = _packed([f" {i}".encode() for i in range(self.size)])
-        self.splitter, self.odd = None, None
+        self.splitter, self.odd, self.is_odd = None, None, None
 
     @classmethod
     @lru_cache(2)
@@ -134,7 +149,8 @@ class Vocabulary:
         out = cls([by_id[i] for i in range(max(by_id) + 1)], [tuple(m) for m in data["model"]["merges"]], special)
         # The vocabulary's normaliser and splitter, without its model.
         out.splitter = json.dumps(data | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"a": 0}, "unk_token": "a"}})
-        out.odd = odd_letters(out.splitter)
+        out.is_odd = odd_table(out.splitter)
+        out.odd = odd_letters(out.is_odd)
         return out
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +374,6 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.odd = regex.compile(vocabulary.odd) if vocabulary.odd else None
         self.rules = None
         self._forget()
 
@@ -385,9 +400,8 @@ class Encoder:
         return [bytes(_BYTE_OF[c] for c in p).decode() for p, _ in pieces]
 
     def _learn(self, raw: list[str]) -> None:
-        odd: list[str] = []
-        if self.odd is not None and self.odd.search("\n".join(raw)):
-            odd = [w for w in raw if self.odd.search(w)]
+        odd = odd_words(raw, self.vocabulary.is_odd) if self.vocabulary.is_odd is not None else []
+        if odd:
             raw = list(set(raw).difference(odd)) + odd
         found = words_of(raw[: len(raw) - len(odd)])
         for w in odd:
@@ -473,23 +487,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compiles the most frequent words of docs and gives the file to all executors; returns its name.
-
-    At most `words` words: of those of about the same frequency that don't all fit, a part by hash.
-    """
-    counts = stored(word_counts(docs, text))
-    # Frequencies in steps of 2 ** (1 / 16): at most 1,024 rows reach the driver, then at most about `words` words.
+def most_frequent(counts: DataFrame, words: int) -> DataFrame:
+    """At most `words` words of counts (word, n), the most frequent: of those of about the same frequency that don't all fit, a part by hash."""
+    # Frequencies in steps of 2 ** (1 / 16): at most 1,024 rows reach the driver.
     step = F.floor(F.log2("n") * 16).cast("int")
-    taken, chosen = 0, F.lit(False)
+    taken, chosen = 0, F.lit(True)
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room = (words - taken) / r["count"]
         part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(0.95 * room * (1 << 20))
-        chosen = chosen | ((step == r["step"]) & part if room < 1 else step == r["step"])
         taken += r["count"]
-        if taken >= words:
+        if taken >= words:  # all steps above are taken whole
+            chosen = (step > r["step"]) | ((step == r["step"]) & (part if room < 1 else F.lit(True)))
             break
-    top = counts.filter(chosen).select("word").toPandas().sort_values("word")
+    return counts.filter(chosen).select("word")
+
+
+def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text: str = "text") -> str:
+    """Compiles the most frequent words of docs, about `words` at most, and gives the file to all executors; returns its name."""
+    counts = stored(word_counts(docs, text))
+    top = most_frequent(counts, words).toPandas().sort_values("word")
     lexicon = Lexicon.compile([w.encode() for w in top["word"]], vocabulary)
     name = f"lexicon-{uuid.uuid4().hex}"  # a context takes each name once
     at = Path(_folder()) / name
