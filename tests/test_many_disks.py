@@ -6,7 +6,7 @@ import re
 import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
-from test_operators import best_disks
+from test_operators import best_disks, placements
 
 from bucketscope.operators import cluster
 from bucketscope.plans import catalog
@@ -47,3 +47,22 @@ def test_pool_choice_takes_sizes_at_the_edge(spark):
     for copies, domains, least, percent in ((1, 0, 0, 0), (2, 2, 10, 15), (3, 4, 0, 7), (8, 1, 0, 0), (9, 0, 0, 0)):
         want = {v: x and pool_of[x[0][0]] for v, x in best_disks(objects, known, copies, domains, least, percent).items()}
         assert {r.version_id: r.pool for r in cluster.pool_choice(asked, rows, "seed", copies, domains, least, percent).collect()} == want
+
+
+def test_placement_ranks_all_disks_where_likely_ones_share_a_domain(spark):
+    """Some 500 disks a pool, two in a hundred outside one fault domain: the likeliest disks often don't suffice. Objects too large for all but few disks, or for any, and repeated ones are there."""
+    disks = [(i, *((f"m{i % 3}", "f2") if i % 53 == 0 else (f"n{i % 40}", "f1")), f"p{i % 2}", 2000, 1000 + i) for i in range(1, 1001)]
+    schema = "disk_id long, node_id string, fault_domain string, pool_id string, total_bytes long, available_bytes long"
+    rows = spark.createDataFrame(disks, schema).withColumns({"disk_status": F.lit("Online"), "node_status": F.lit("Online")})
+    objects = [("b", f"k{i}", f"v{i}", (0, 900, 1900, 1990, 1999, 2500)[i % 6]) for i in range(60)]
+    asked = spark.createDataFrame(objects, "bucket string, key string, version_id string, content_length long")
+    for copies, domains in ((1, 0), (2, 2), (3, 0), (45, 0)):
+        found = cluster.placed(asked, rows, "seed", copies, domains)
+        assert placements(found.collect()) == best_disks(objects, disks, copies, domains)
+    twice = cluster.placed(asked.union(asked), rows, "seed", 2, 2).groupBy(*cluster.placed(asked, rows, "seed", 2, 2).columns).count()
+    assert {r["count"] for r in twice.collect()} == {2}
+
+
+def test_placement_drops_unlikely_disks_before_they_are_ordered(spark, sf_dir):
+    plan = catalog.queries()["rebalance_plan_m18_j13_j16"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "sha2" in line for line in plan.splitlines())
