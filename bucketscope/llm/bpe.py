@@ -20,6 +20,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import json
+import pickle
 import shutil
 import tempfile
 import unicodedata
@@ -30,7 +31,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bucketscope.llm.columnar import gathered
-from bucketscope.llm.tables import removed, stored, table
+from bucketscope.llm.tables import removed, stored, table, worked_out
 
 #: Most words compiled into the lexicon: the most frequent of the whole corpus.
 LEXICON_WORDS = 65_536
@@ -143,7 +143,11 @@ class Vocabulary:
     @classmethod
     @lru_cache(2)
     def read(cls, path: str) -> Vocabulary:
-        data = json.loads(Path(path).read_text())
+        return cls.parsed(Path(path).read_text())
+
+    @classmethod
+    def parsed(cls, text: str) -> Vocabulary:
+        data = json.loads(text)
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         by_id = {i: t for t, i in data["model"]["vocab"].items()} | {i: t for t, i in special.items()}
         out = cls([by_id[i] for i in range(max(by_id) + 1)], [tuple(m) for m in data["model"]["merges"]], special)
@@ -349,13 +353,13 @@ class Lexicon:
             live = live[~ended]
         return out
 
-    def save(self, path: str) -> None:
-        """One file: the number of entries of each array, then the arrays."""
+    def packed(self) -> bytes:
+        """What a file of it holds: the number of entries of each array, then the arrays."""
         arrays = [np.ascontiguousarray(getattr(self, f), np.int64) for f in self.FIELDS]
-        with open(path, "wb") as f:
-            f.write(np.array([len(x) for x in arrays], np.int64).tobytes())
-            for x in arrays:
-                f.write(x.tobytes())
+        return b"".join(x.tobytes() for x in (np.array([len(x) for x in arrays], np.int64), *arrays))
+
+    def save(self, path: str) -> None:
+        Path(path).write_bytes(self.packed())
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -505,13 +509,25 @@ def most_frequent(counts: DataFrame, words: int) -> DataFrame:
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text: str = "text") -> str:
     """Compiles the most frequent words of docs, about `words` at most, and gives the file to all executors; returns its name."""
     counts = stored(word_counts(docs, text))
-    top = most_frequent(counts, words).toPandas().sort_values("word")
-    lexicon = Lexicon.compile([w.encode() for w in top["word"]], vocabulary)
-    name = f"lexicon-{uuid.uuid4().hex}"  # a context takes each name once
-    at = Path(_folder()) / name
-    lexicon.save(str(at))
-    docs.sparkSession.sparkContext.addFile(str(at))  # the driver serves it to the executors
+    lexicon = worked_out(_one_at_least(most_frequent(counts, words)), lambda rows: _compiled(rows, vocabulary))
     removed(counts)
+    return _given(docs.sparkSession, lexicon, "lexicon")
+
+
+def _one_at_least(words: DataFrame) -> DataFrame:
+    return words.union(words.sparkSession.range(1).select(F.lit(None).cast("string")))
+
+
+def _compiled(rows: pa.Table, vocabulary: Vocabulary) -> bytes:
+    return Lexicon.compile([w.encode() for w in rows["word"].to_pylist() if w is not None], vocabulary).packed()
+
+
+def _given(spark: SparkSession, content: bytes, kind: str) -> str:
+    """Puts content into a file that the driver serves to the executors; returns its name."""
+    name = f"{kind}-{uuid.uuid4().hex}"  # a context takes each name once
+    at = Path(_folder()) / name
+    at.write_bytes(content)
+    spark.sparkContext.addFile(str(at))
     return name
 
 
@@ -523,15 +539,29 @@ def _folder() -> str:
     return at
 
 
-def encoder_of(name: str, vocabulary) -> Encoder:  # noqa: ANN001  (a broadcast Vocabulary)
+@lru_cache(1)
+def vocabulary_of(name: str) -> Vocabulary:
+    """The vocabulary in a file that the driver serves; a worker reads it once."""
+    return pickle.loads(Path(SparkFiles.get(name)).read_bytes())
+
+
+def encoder_of(name: str, vocabulary: str) -> Encoder:
     """A task's encoder; what it remembers goes with the task."""
-    return Encoder(vocabulary.value, Lexicon.mapped(SparkFiles.get(name)))
+    return Encoder(vocabulary_of(vocabulary), Lexicon.mapped(SparkFiles.get(name)))
+
+
+def prepared(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text: str = "text") -> tuple[str, str]:
+    """Names of the files of the lexicon and of the vocabulary for docs. A task makes both, of a few MB each, from the vocabulary's file and the most frequent words; the driver only passes them on."""
+    content = Path(vocabulary_path).read_text()
 
+    def made(rows: pa.Table) -> tuple[bytes, bytes]:
+        vocabulary = Vocabulary.parsed(content)
+        return _compiled(rows, vocabulary), pickle.dumps(vocabulary)
 
-def prepared(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text: str = "text"):  # noqa: ANN201
-    """(lexicon's name, broadcast vocabulary) for docs. The vocabulary is a fixed file of a few MB."""
-    vocabulary = Vocabulary.read(vocabulary_path)
-    return lexicon_file(docs, vocabulary, words, text), docs.sparkSession.sparkContext.broadcast(vocabulary)
+    counts = stored(word_counts(docs, text))
+    lexicon, vocabulary = worked_out(_one_at_least(most_frequent(counts, words)), made)
+    removed(counts)
+    return _given(docs.sparkSession, lexicon, "lexicon"), _given(docs.sparkSession, vocabulary, "vocabulary")
 
 
 def encode(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text: str = "text") -> DataFrame:
@@ -555,11 +585,11 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "token_ids") ->
     """encoded with ``decoded_text``: the text of its ids."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
 
-    @F.pandas_udf("string")
-    def text_of(column: pd.Series) -> pd.Series:
-        rows = [np.asarray(x if x is not None else [], np.int64) for x in column]
+    @F.arrow_udf("string")
+    def text_of(column: pa.Array) -> pa.Array:
+        rows = [np.asarray(x if x is not None else [], np.int64) for x in column.to_pylist()]
         begin = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in rows])]).astype(np.int64)
-        return pd.Series([x.decode() for x in decoded(vocabulary.value, np.concatenate([np.zeros(0, np.int64), *rows]), begin)])
+        return pa.array([x.decode() for x in decoded(vocabulary.value, np.concatenate([np.zeros(0, np.int64), *rows]), begin)], pa.string())
 
     return encoded.drop("decoded_text").withColumn("decoded_text", text_of(F.col(ids)))
 
@@ -569,7 +599,7 @@ def digests(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS) -
     name, vocabulary = prepared(docs, vocabulary_path, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, v = encoder_of(name, vocabulary), vocabulary.value
+        encoder, v = encoder_of(name, vocabulary), vocabulary_of(vocabulary)
         for b in batches:
             for first, size in _row_slices(b.column(1)):
                 texts = [x or "" for x in b.column(1).slice(first, size).to_pylist()]

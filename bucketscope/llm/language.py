@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bucketscope.llm.columnar import lowered, slices
-from bucketscope.llm.tables import fold, table
+from bucketscope.llm.tables import fold, table, worked_out
 
 #: Labelled documents to learn from, in all.
 SAMPLE_DOCS = 2_000
@@ -160,16 +160,18 @@ def _sample(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(count, "doc_id long, lang string, grams array<int>, counts array<float>")
 
 
-def learn(docs: DataFrame) -> Coder | None:
-    rows = _sample(docs).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()  # bounded: see _sample
-    if not len(rows):
-        return None
+def _fitted(rows: pa.Table) -> Coder:
+    rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     counts = np.zeros((len(rows), 2 << BITS), np.float32)
     grams, many = (rows[c].combine_chunks() for c in ("grams", "counts"))
     counts[np.repeat(np.arange(len(rows)), grams.value_lengths().to_numpy()), grams.flatten().to_numpy()] = many.flatten().to_numpy()
     return Coder.fit(counts, rows["lang"].to_pylist())
 
 
+def learn(docs: DataFrame) -> Coder | None:
+    return worked_out(_sample(docs), _fitted)
+
+
 def identify(docs: DataFrame, coder: Coder | None, text: str = "text") -> DataFrame:
     """docs with ``lang_pred string``, ``score double`` and ``ambiguous boolean``."""
     model = docs.sparkSession.sparkContext.broadcast(coder)  # 4,096 weights for each bit
