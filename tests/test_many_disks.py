@@ -66,3 +66,15 @@ def test_placement_ranks_all_disks_where_likely_ones_share_a_domain(spark):
 def test_placement_drops_unlikely_disks_before_they_are_ordered(spark, sf_dir):
     plan = catalog.queries()["rebalance_plan_m18_j13_j16"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert any("Filter" in line and "sha2" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["placement_w04_w06_j15_p25"])
+def test_objects_are_dealt_out_before_anything_is_hashed(spark, sf_dir, name):
+    lines = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]  # what comes below in the plan is done before
+    assert len(dealt) == 1 and not any("sha2" in line for line in lines[dealt[0] :])
+
+
+def test_disks_are_held_against_the_bound_by_their_whole_hash(spark, sf_dir):
+    lines = catalog.queries()["placement_w04_w06_j15_p25"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line for line in lines if "Filter" in line and "sha2" in line and "substr" not in line]
