@@ -68,7 +68,7 @@ def test_placement_drops_unlikely_disks_before_they_are_ordered(spark, sf_dir):
     assert any("Filter" in line and "sha2" in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name", ["placement_w04_w06_j15_p25"])
+@pytest.mark.parametrize("name", ["placement_w04_w06_j15_p25", "rebalance_plan_m18_j13_j16"])
 def test_objects_are_dealt_out_before_anything_is_hashed(spark, sf_dir, name):
     lines = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]  # what comes below in the plan is done before
